@@ -1,0 +1,23 @@
+"""Registered queries over the driver tables."""
+
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+from corpuskit.plans import registry
+
+
+def _load() -> None:
+    for module in pkgutil.iter_modules(__path__):
+        importlib.import_module(f"{__name__}.{module.name}")
+
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(registry.ORACLES)
