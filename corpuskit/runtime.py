@@ -77,3 +77,19 @@ def fits_in_tasks(df: DataFrame, text_col: str | None, row_limit: int, char_limi
     chars = F.sum(F.length(text_col)) if text_col else F.lit(0)
     size = df.agg(F.count("*").alias("n"), F.coalesce(chars, F.lit(0)).alias("chars")).first()
     return size["n"] <= row_limit and size["chars"] <= char_limit
+
+
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    columns: Sequence[str],
+    group_limit: int = GROUP_ROW_LIMIT,
+) -> DataFrame:
+    """Add ``prev_<column>`` of the row before, per key; large groups are joined on their rank."""
+    if largest_group(df, keys) <= group_limit:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(window) for c in columns})
+    numbered = ranked(df, keys, order, "_rank", group_limit)
+    before = numbered.select(*keys, (F.col("_rank") + 1).alias("_rank"), *[F.col(c).alias(f"prev_{c}") for c in columns])
+    return numbered.join(before, [*keys, "_rank"], "left").drop("_rank")
