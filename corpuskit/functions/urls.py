@@ -29,7 +29,7 @@ def url_path(url: Column) -> Column:
 def _host_and_port(url: Column) -> tuple[Column, Column]:
     address = F.regexp_replace(F.regexp_extract(url, _NETLOC, 1), "^.*@", "")
     host = F.regexp_extract(address, r"^(\[[^\]]*\]|[^:]*)", 1)
-    return F.lower(F.regexp_replace(host, r"[\[\]]", "")), F.regexp_extract(address, r":(\d+)$", 1).cast("int")
+    return F.lower(F.regexp_replace(host, r"[\[\]]", "")), F.regexp_extract(address, r":(\d+)$", 1).try_cast("int")
 
 
 def url_hostname(url: Column) -> Column:

@@ -27,7 +27,7 @@ def url_fetchable(df: DataFrame, url: str = "url") -> DataFrame:
 
 def address_key(ip: Column) -> Column:
     """Sortable text of an address: ``4`` and 8 hex digits, or ``6`` and 32 hex digits."""
-    octets = F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.hex(o.cast("int")), 2, "0"))
+    octets = F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.hex(o.try_cast("int")), 2, "0"))
     sides = F.split(ip, "::")
 
     def groups(side: Column) -> Column:

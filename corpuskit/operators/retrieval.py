@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuskit.functions import text as X
-from corpuskit.operators.topk import Scoring, score_topk
+from corpuskit.operators.topk import Scoring, best_per_keyword_score, score_topk
 
 VECTOR_WEIGHT = 0.7
 KEYWORD_WEIGHT = 0.3
@@ -58,9 +58,8 @@ def query_chunk_candidates(queries: DataFrame, candidates: DataFrame, k: int, sc
     For every keyword score the best k chunks by vector score; no other chunk can be a hit.
     """
     how = Scoring(k=k, keyword="overlap", vector="text", keep_zero=True)
-    return score_topk(
-        queries, _with_hit_columns(candidates), how, final_score=F.col("vec"), payload=HIT, scope=scope, newest="created_at"
-    )
+    rows = _with_hit_columns(candidates)
+    return best_per_keyword_score(queries, rows, how, payload=HIT, scope=scope, newest="created_at").drop("_id", "_newest")
 
 
 def _with_hit_columns(candidates: DataFrame) -> DataFrame:

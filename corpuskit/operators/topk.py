@@ -240,12 +240,11 @@ def _cogrouped(rows: DataFrame, queries: DataFrame, how: Scoring, schema: T.Stru
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
-def score_topk(
+def best_per_keyword_score(
     queries: DataFrame,
     rows: DataFrame,
     how: Scoring,
     *,
-    final_score: Column,
     payload: list[str],
     scope: str = "scope",
     newest: str | None = None,
@@ -253,7 +252,7 @@ def score_topk(
     row_limit: int = runtime.SHIPPED_ROW_LIMIT,
     char_limit: int = runtime.SHIPPED_CHAR_LIMIT,
 ) -> DataFrame:
-    """Top ``how.k`` rows per query, ranked by ``final_score`` (over ``kw``, ``vec``, ``max_kw``).
+    """Best ``how.k`` rows per query and keyword score: every row that can be in the top k.
 
     ``queries``: query_id, ``scope`` and query_text and/or embedding. ``rows``: ``scope``, ``row_id``,
     search_text and/or embedding, the payload columns and the recency column ``newest``.
@@ -283,10 +282,16 @@ def score_topk(
     else:
         best = _cogrouped(scored, asked, how, inner)
     per_value = Window.partitionBy("query_id", "kw").orderBy(F.desc("vec"), F.desc("_newest"), F.asc("_id"))
-    best = best.withColumn("_r", F.row_number().over(per_value)).filter(F.col("_r") <= how.k)
+    return best.withColumn("_r", F.row_number().over(per_value)).filter(F.col("_r") <= how.k).drop("_r")
+
+
+def score_topk(
+    queries: DataFrame, rows: DataFrame, how: Scoring, *, final_score: Column, payload: list[str], **options
+) -> DataFrame:
+    """Top ``how.k`` rows per query, ranked by ``final_score`` (over ``kw``, ``vec``, ``max_kw``)."""
+    best = best_per_keyword_score(queries, rows, how, payload=payload, **options)
     per_query = Window.partitionBy("query_id")
-    best = best.withColumn("max_kw", F.max("kw").over(per_query))
-    best = best.withColumn("score", final_score)
+    best = best.withColumn("max_kw", F.max("kw").over(per_query)).withColumn("score", final_score)
     order = per_query.orderBy(F.desc("score"), F.desc("_newest"), F.asc("_id"))
     best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= how.k)
     return best.select("query_id", "rank", *payload, "kw", "vec", "score")
