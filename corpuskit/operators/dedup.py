@@ -22,6 +22,11 @@ def known_key_antijoin(new: DataFrame, stored: DataFrame, key: str) -> DataFrame
     return new.join(stored.select(key).distinct(), key, "left_anti")
 
 
+def _place(row_id: str, order: list[str]) -> Column:
+    """Sortable place of a row: the order columns, then its id."""
+    return F.struct(*order, F.col(row_id).alias("_id"))
+
+
 def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str]) -> DataFrame:
     """Ids of the rows that are the first of their key; rows with an empty key all count as first.
 
@@ -29,7 +34,7 @@ def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str]) -> Dat
     the rows costs one row per map task.
     """
     filled = F.coalesce(F.col(key), F.lit("")) != ""
-    first = F.min(F.struct(*order, row_id))[row_id].alias(row_id)
+    first = F.min(_place(row_id, order))["_id"].alias(row_id)
     firsts = df.filter(filled).groupBy(key).agg(first).select(row_id)
     return firsts.unionByName(df.filter(~filled).select(row_id))
 
@@ -146,7 +151,7 @@ def greedy_dropped(edges: DataFrame) -> DataFrame:
 
 def dedup_simhash_greedy(df: DataFrame, row_id: str, order: list[str], simhash: str = "simhash") -> DataFrame:
     """Rows that stay when each row within distance 3 of an earlier kept row is dropped, in order."""
-    place = F.min(F.struct(*order, row_id)).alias("place")
+    place = F.min(_place(row_id, order)).alias("place")
     firsts = runtime.cut_lineage(df.groupBy(F.col(simhash).alias("fp")).agg(place))
     pairs = simhash_pairs(firsts, "fp")
     first_a = firsts.select(F.col("fp").alias("a"), F.col("place").alias("pa"))
@@ -157,7 +162,7 @@ def dedup_simhash_greedy(df: DataFrame, row_id: str, order: list[str], simhash:
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("dst"),
     )
     kept = firsts.join(greedy_dropped(edges), F.col("fp") == F.col("node"), "left_anti")
-    return df.join(kept.select(F.col(f"place.{row_id}").alias(row_id)), row_id, "left_semi")
+    return df.join(kept.select(F.col("place._id").alias(row_id)), row_id, "left_semi")
 
 
 def duplicate_reasons(
