@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuskit import runtime
 from corpuskit.functions import text as X
+from corpuskit.operators import chunking as K
 
 NO_TEXT_SUMMARY = "Document parsed successfully, but no text content was extracted."
 
@@ -17,8 +19,7 @@ def window_chunks(docs: DataFrame, text: str, size: int, overlap: int) -> DataFr
     The text is cut once into pieces of ``size - overlap`` characters, so the work is linear in
     its length. A window is a piece with the head of the next one (``overlap <= size / 2``).
     """
-    if not 0 <= overlap <= size // 2:
-        raise ValueError("overlap must be between 0 and half the size")
+    K.check_overlap(size, overlap)
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{1,{size - overlap}}})"), F.lit(1))
     windows = F.transform(
         F.col("_pieces"),
@@ -45,3 +46,128 @@ def document_summary(docs: DataFrame, chunks: DataFrame, size: int = 500) -> Dat
     return docs.join(summaries, "document_id", "left").withColumn(
         "summary", F.coalesce("summary", F.lit(NO_TEXT_SUMMARY))
     )
+
+
+def split_markdown_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per section of Markdown documents that has text, in document order."""
+    kept = [c for c in docs.columns if c != text]
+    found = docs.select(*kept, F.posexplode(K.sections_column(F.col(text))).alias("section_index", "s"))
+    return found.select(*kept, F.col("section_index").cast("long").alias("section_index"), "s.title_path", "s.content")
+
+
+def chunk_text(
+    docs: DataFrame, text: str = "text", size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP
+) -> DataFrame:
+    """One row per chunk of a text, cut at separators, with code fences and tables kept whole."""
+    kept = [c for c in docs.columns if c != text]
+    found = docs.select(*kept, F.posexplode(K.chunks_column(F.col(text), size, overlap)).alias("chunk_index", "content"))
+    return found.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def extract_keywords(chunks: DataFrame, text: str = "content", n: int = K.MAX_KEYWORDS) -> DataFrame:
+    """Add the top keywords of each text."""
+    return chunks.withColumn("keywords", K.keywords_column(F.col(text), n))
+
+
+def _parsed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Chunks of Markdown (``.md``) and plain text documents with title, path and index."""
+    rest = [c for c in docs.columns if c not in ("text", "extension")]
+    is_markdown = F.col("extension") == ".md"
+    markdown = split_markdown_sections(docs.filter(is_markdown).drop("extension")).withColumn(
+        "title", F.col("title_path")
+    )
+    markdown = markdown.select(
+        *rest,
+        "title_path",
+        "title",
+        "section_index",
+        F.posexplode(K.chunks_column(F.col("content"), size, overlap)).alias("part_index", "content"),
+    )
+    plain = docs.filter(~is_markdown).select(
+        *rest,
+        F.col("doc_id").alias("title_path"),
+        F.lit(0).cast("long").alias("section_index"),
+        F.posexplode(K.chunks_column(F.col("text"), size, overlap)).alias("part_index", "content"),
+    )
+    name = F.concat("doc_id", F.lit(" - 片段 "), (F.col("part_index") + 1).cast("string"))
+    return markdown.unionByName(plain.withColumn("title", name))
+
+
+def chunk_id() -> Column:
+    """Stable id of a chunk: document, section and part."""
+    return F.sha2(F.concat_ws("|", "doc_id", "section_index", "part_index"), 256)
+
+
+def ingest_corpus(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """Knowledge chunks of documents: doc_id, text, extension, domain, doc_type, source.
+
+    Markdown is cut into sections first; other text is chunked as a whole. Ids are stable, so a
+    repeated ingest replaces its chunks.
+    """
+    parsed = extract_keywords(_parsed(docs, size, overlap)).withColumn("chunk_id", chunk_id())
+    return parsed.withColumn("tags", F.array().cast("array<string>"))
+
+
+def ingest_json_sections(sections: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """Knowledge chunks of the sections that ``scan_json_docs`` reads."""
+    kept = [c for c in sections.columns if c != "content"]
+    parts = sections.select(
+        *kept, F.posexplode(K.chunks_column(F.col("content"), size, overlap)).alias("part_index", "content")
+    )
+    return extract_keywords(parts.withColumn("title", F.col("title_path"))).withColumn("chunk_id", chunk_id())
+
+
+def ingest_user_documents(docs: DataFrame, size: int = 600, overlap: int = 120) -> tuple[DataFrame, DataFrame]:
+    """Uploaded documents (document_id, title, text, extension, ...) as (documents, chunks).
+
+    Blank chunks are dropped. A document whose parse gives nothing becomes one chunk of its
+    first ``2 x size`` characters. A document without text is marked as failed.
+    """
+    named = docs.withColumn("doc_id", F.col("document_id").cast("string"))
+    source = named.filter("text IS NOT NULL").select("document_id", "doc_id", "text", "extension", F.col("title").alias("name"))
+    parsed = _parsed(source, size, overlap).withColumn("content", X.strip(F.col("content")))
+    untitled = F.concat("name", F.lit(" - Chunk "), (F.col("part_index") + 1).cast("string"))
+    label = F.coalesce(F.nullif("title_path", F.lit("")), F.nullif("title", F.lit("")), untitled)
+    found = parsed.filter("content <> ''").select(
+        "document_id", "section_index", "part_index", F.substring(label, 1, 255).alias("chunk_title"), "content"
+    )
+    whole = X.strip(F.col("text"))
+    fallback = (
+        source.join(found.select("document_id").distinct(), "document_id", "left_anti")
+        .filter(whole != "")
+        .select(
+            "document_id",
+            F.lit(0).cast("long").alias("section_index"),
+            F.lit(0).alias("part_index"),
+            F.substring("name", 1, 255).alias("chunk_title"),
+            F.substring(whole, 1, 2 * size).alias("content"),
+        )
+    )
+    order = [F.asc("section_index"), F.asc("part_index")]
+    chunks = runtime.ranked(found.unionByName(fallback), ["document_id"], order, "_rank")
+    chunks = chunks.select("document_id", (F.col("_rank") - 1).alias("chunk_index"), "chunk_title", "content")
+    failed = F.col("text").isNull()
+    listed = document_summary(docs.withColumn("failed", failed).drop("text", "extension"), chunks)
+    documents = listed.withColumns(
+        {
+            "status": F.when(F.col("failed"), "failed").otherwise("ready"),
+            "summary": F.when(F.col("failed"), "Parsing failed: text is missing").otherwise(F.col("summary")),
+        }
+    ).drop("failed")
+    return documents, chunks
+
+
+def rows_to_markdown_table(rows: DataFrame, group: str, row_index: str = "row_index", cells: str = "cells") -> DataFrame:
+    """Markdown lines of tables: (group, row_index, part, line), to be read in that order.
+
+    Rows without any filled cell are left out. The separator follows the first row. Lines stay
+    rows, so a table of any size is spread over tasks.
+    """
+    filled = rows.filter(F.exists(cells, lambda c: X.strip(F.coalesce(c, F.lit(""))) != ""))
+    clean = F.transform(cells, lambda c: F.regexp_replace(X.strip(F.coalesce(c, F.lit(""))), "\n", " "))
+    line = F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
+    body = filled.select(group, row_index, F.lit(0).alias("part"), line.alias("line"))
+    firsts = filled.groupBy(group).agg(F.min(F.struct(F.col(row_index).alias("at"), F.size(cells).alias("n"))).alias("f"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("f.n")), " | "), F.lit(" |"))
+    rules = firsts.select(group, F.col("f.at").alias(row_index), F.lit(1).alias("part"), rule.alias("line"))
+    return body.unionByName(rules)
