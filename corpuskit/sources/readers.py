@@ -39,10 +39,9 @@ def _file_columns() -> dict:
 
 def scan_text_dir(spark: SparkSession, path: str, recursive: bool = True, domain: str = "general") -> DataFrame:
     """One row per text file of a folder, or of a single named file of any type."""
-    reader = spark.read.option("wholetext", True)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    files = reader.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive or None).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("source")
+    )
     files = files.withColumns(_file_columns()).withColumn("domain", F.lit(domain))
     named = F.col("source").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])
     return files.filter(F.lower("source").rlike(rf"\.({'|'.join(TEXT_SUFFIXES)})$") | named)
