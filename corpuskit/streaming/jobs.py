@@ -79,8 +79,11 @@ class LastMessages(StatefulProcessor):
 class PendingQuestion(StatefulProcessor):
     """Pairs an assistant message with the user message right before it."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "message_id long, content string", PENDING_TTL_MS)
+        self.pending = handle.getValueState("pending", "message_id long, content string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = self.pending.get() if self.pending.exists() else None
@@ -123,14 +126,19 @@ def stream_short_term_memory(messages: DataFrame, max_turns: int = 10) -> DataFr
     )
 
 
-def stream_conversation_rounds(messages: DataFrame) -> DataFrame:
-    """Rounds as assistant messages close them. A micro-batch is sorted per session before pairing."""
+def stream_conversation_rounds(messages: DataFrame, pending_ttl_ms: int | None = None) -> DataFrame:
+    """Rounds as assistant messages close them. A micro-batch is sorted per session before pairing.
+
+    ``pending_ttl_ms`` (for example ``PENDING_TTL_MS``) drops questions that stay open. It needs
+    processing time, with which a query never runs out of batches: use it in continuous jobs, not
+    with ``availableNow``.
+    """
     talk = _flat(messages.filter(F.col("role").isin("user", "assistant")))
     rounds = talk.groupBy("session_id").transformWithStateInPandas(
-        PendingQuestion(),
+        PendingQuestion(pending_ttl_ms),
         outputStructType="session_id long, user_message_id long, message_id long, question string, answer string",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="None" if pending_ttl_ms is None else "ProcessingTime",
     )
     return rounds.select(
         "session_id", "user_message_id", "message_id", round_text(F.col("question"), F.col("answer")).alias("text")
