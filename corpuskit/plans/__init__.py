@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import pkgutil
 
+from corpuskit import runtime
 from corpuskit.plans import registry
 
 
@@ -13,9 +15,20 @@ def _load() -> None:
         importlib.import_module(f"{__name__}.{module.name}")
 
 
+def _with_package(fn: registry.Query) -> registry.Query:
+    """The workers need this package, from wherever the driver was started."""
+
+    @functools.wraps(fn)
+    def run(spark, sf):
+        runtime.ship_package(spark)
+        return fn(spark, sf)
+
+    return run
+
+
 def queries() -> dict[str, registry.Query]:
     _load()
-    return dict(registry.QUERIES)
+    return {name: _with_package(fn) for name, fn in registry.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import WHITESPACE, strip
+from corpuskit import runtime
 from corpuskit.operators.documents import document_summary, window_chunks
 
 SQL_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -82,7 +82,9 @@ def sql_features(source: str, key: str, text: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; the text tables, whose rows are costly to process, use all cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return runtime.spread(df) if name in ("documents", "pages") else df
 
 
 def raw_docs(spark: SparkSession, sf: str) -> DataFrame:

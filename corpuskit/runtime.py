@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +95,29 @@ def with_previous(
     numbered = ranked(df, keys, order, "_rank", group_limit)
     before = numbered.select(*keys, (F.col("_rank") + 1).alias("_rank"), *[F.col(c).alias(f"prev_{c}") for c in columns])
     return numbered.join(before, [*keys, "_rank"], "left").drop("_rank")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="corpuskit-code-")) / "corpuskit.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in package.rglob("*.py"):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer partitions than that (few row groups).
+
+    A large input has more splits than cores and is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
