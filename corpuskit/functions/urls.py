@@ -74,6 +74,11 @@ def canonicalize_url(url: Column) -> Column:
     )
 
 
+def url_key(url: Column) -> Column:
+    """Canonical URL as a key; null for an empty URL, which equals no other."""
+    return F.when(F.coalesce(url, F.lit("")) != "", canonicalize_url(url))
+
+
 def fetch_error(url: Column) -> Column:
     """Why a URL cannot be fetched; empty when scheme and host are fine."""
     scheme = F.regexp_extract(strip(url), _SCHEME, 1)

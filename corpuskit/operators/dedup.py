@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskit import runtime
 from corpuskit.functions.text import content_hash, hamming
-from corpuskit.functions.urls import canonicalize_url
+from corpuskit.functions.urls import url_key
 from corpuskit.operators.embedding import simhash_column
 
 MAX_DISTANCE = 3
@@ -40,7 +40,7 @@ def first_per_key(df: DataFrame, key: str, row_id: str, order: list[str]) -> Dat
 
 
 def dedup_first_url(df: DataFrame, row_id: str, order: list[str], url: str = "url") -> DataFrame:
-    keyed = df.withColumn("_key", canonicalize_url(F.col(url)))
+    keyed = df.withColumn("_key", url_key(F.col(url)))
     return df.join(first_per_key(keyed, "_key", row_id, order), row_id, "left_semi")
 
 
@@ -54,7 +54,7 @@ def dedup_exact(df: DataFrame, row_id: str, order: list[str], url: str = "url",
     narrow = df.select(
         row_id,
         *[c for c in order if c != row_id],
-        canonicalize_url(F.col(url)).alias("_url"),
+        url_key(F.col(url)).alias("_url"),
         F.when(F.col(text) != "", content_hash(F.col(text))).alias("_hash"),
     )
     by_url = narrow.join(first_per_key(narrow, "_url", row_id, order), row_id, "left_semi")
@@ -95,7 +95,7 @@ def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: in
     Works on distinct fingerprints, so exact copies add nothing. A fingerprint has at most
     43,744 others within distance 3, which bounds the pairs. Each pair comes out once.
     """
-    fps = fingerprints.select(F.col(simhash).alias("fp")).distinct()
+    fps = runtime.materialize(fingerprints.select(F.col(simhash).alias("fp")).distinct())
     masks = _masks(_MASKS)
     keyed = fps.select("fp", F.posexplode(masks).alias("at", "mask")).select(
         "fp", "at", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
@@ -132,27 +132,23 @@ def greedy_dropped(edges: DataFrame) -> DataFrame:
     open earlier neighbours and drops what they reach; edges of decided nodes disappear. Rounds
     are bounded by the longest chain of neighbours.
     """
-    open_edges = runtime.cut_lineage(edges.select("src", "dst"))
-    dropped = open_edges.select(F.col("dst").alias("node")).limit(0)
-    while not open_edges.isEmpty():
-        kept = open_edges.select("src").distinct().join(
-            open_edges.select(F.col("dst").alias("src")).distinct(), "src", "left_anti"
-        )
-        gone = open_edges.join(kept, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        gone = runtime.cut_lineage(gone)
-        dropped = dropped.unionByName(gone)
-        open_edges = runtime.cut_lineage(
-            open_edges.join(gone, open_edges["src"] == gone["node"], "left_anti").join(
-                gone, F.col("dst") == gone["node"], "left_anti"
-            )
-        )
-    return dropped
+    state = runtime.materialize(edges.select("src", "dst"))
+    while not state.filter("src IS NOT NULL").isEmpty():
+        # rows without a source are the nodes that earlier rounds dropped
+        open_edges = state.filter("src IS NOT NULL")
+        later = open_edges.select(F.col("dst").alias("src")).distinct()
+        gone = open_edges.join(later, "src", "left_anti").select(F.col("dst").alias("node")).distinct()
+        left = open_edges.join(gone, F.col("src") == F.col("node"), "left_anti")
+        left = left.join(gone, F.col("dst") == F.col("node"), "left_anti")
+        marks = gone.select(F.lit(None).cast("long").alias("src"), F.col("node").alias("dst"))
+        state = runtime.materialize(state.filter("src IS NULL").unionByName(left).unionByName(marks))
+    return state.select(F.col("dst").alias("node"))
 
 
 def dedup_simhash_greedy(df: DataFrame, row_id: str, order: list[str], simhash: str = "simhash") -> DataFrame:
     """Rows that stay when each row within distance 3 of an earlier kept row is dropped, in order."""
     place = F.min(_place(row_id, order)).alias("place")
-    firsts = runtime.cut_lineage(df.groupBy(F.col(simhash).alias("fp")).agg(place))
+    firsts = runtime.materialize(df.groupBy(F.col(simhash).alias("fp")).agg(place))
     pairs = simhash_pairs(firsts, "fp")
     first_a = firsts.select(F.col("fp").alias("a"), F.col("place").alias("pa"))
     first_b = firsts.select(F.col("fp").alias("b"), F.col("place").alias("pb"))
@@ -173,11 +169,11 @@ def duplicate_reasons(
     The text is read once, into narrow fingerprints that all three stages share.
     """
     has_text = F.col(text) != ""
-    narrow = runtime.cut_lineage(
+    narrow = runtime.materialize(
         df.select(
             row_id,
             *[c for c in order if c != row_id],
-            canonicalize_url(F.col(url)).alias("_url"),
+            url_key(F.col(url)).alias("_url"),
             F.when(has_text, content_hash(F.col(text))).alias("_hash"),
             F.when(has_text, simhash_column(F.col(text))).alias("_simhash"),
         )

@@ -55,9 +55,9 @@ def quality_gate(pages: DataFrame, min_score: float = MIN_SCORE, min_length: int
 def curate_pages(pages: DataFrame, row_id: str = "page_id", order: list[str] | None = None) -> DataFrame:
     """Normalized pages with the reason of their rejection: ``quality``, ``url``, ``hash``, ``simhash`` or empty.
 
-    Pages are parsed once; the normalized pages are checkpointed for the stages that follow.
+    Pages are parsed once; the normalized pages are written for the stages that follow.
     """
-    normalized = runtime.cut_lineage(normalize_pages(pages))
+    normalized = runtime.materialize(normalize_pages(pages))
     good = quality_gate(normalized)
     reasons = duplicate_reasons(good, row_id, order or [row_id])
     reason = F.coalesce("reason", F.lit("quality"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuskit import runtime
 from corpuskit.functions import text as X
 from corpuskit.operators.topk import Scoring, best_per_keyword_score, score_topk
 
@@ -142,7 +143,7 @@ def search_documents(
     queries: DataFrame, candidates: DataFrame, docs: DataFrame, k: int = 5, scope: str = "user_id"
 ) -> DataFrame:
     """Documents by their best chunk; queries without any hit fall back to title and summary."""
-    hits = best_chunk_per_document(hybrid_topk(queries, candidates, k, scope), k)
+    hits = best_chunk_per_document(runtime.materialize(hybrid_topk(queries, candidates, k, scope)), k)
     found = hits.select("query_id", "rank", "document_id", F.col("document_title").alias("title"), "snippet", "score")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     summary = F.substring(F.coalesce("summary", F.lit("")), 1, 160)
@@ -183,7 +184,7 @@ def chat_retrieval(turns: DataFrame, candidates: DataFrame, k: int = 4) -> DataF
     overview = F.col("document_id").isNotNull() & classify_summary_request(F.col("query_text"))
     summaries = scoped.filter(overview)
     searches = scoped.filter(~overview & (X.strip(F.col("query_text")) != ""))
-    hits = hybrid_topk(searches, placed, k, "turn_scope")
+    hits = runtime.materialize(hybrid_topk(searches, placed, k, "turn_scope"))
     bound = scoped.filter(~overview & F.col("document_id").isNotNull())
     missed = bound.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     previews = empty_query_preview(summaries.unionByName(missed), placed, max(k, 6), "turn_scope")

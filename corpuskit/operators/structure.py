@@ -52,6 +52,7 @@ def build_section_nodes(chunks: DataFrame, group_limit: int = runtime.GROUP_ROW_
         )
         .withColumn("preview", F.coalesce("own.text", F.lit("")))
     )
+    nodes = runtime.materialize(nodes)
     numbered = runtime.ranked(nodes, ["document_id"], [F.asc("first_seen")], "ordinal", group_limit)
     numbered = numbered.drop("first_seen", "own").withColumn("section_id", F.concat(F.lit("s"), "ordinal"))
     ordinals = numbered.select("document_id", F.col("path").alias("prefix"), F.col("ordinal").alias("at"))
@@ -177,7 +178,8 @@ def concept_neighbors(
     that appears first. A start leaves the expansion when nothing it can still reach would enter
     its top ``k``.
     """
-    links = undirected_edges(edges).select("document_id", "src", "dst", "type", "weight")
+    links = runtime.materialize(undirected_edges(edges).select("document_id", "src", "dst", "type", "weight"))
+    nodes = runtime.materialize(nodes.select("document_id", "section_id", "ordinal", "title"))
     ordinal = nodes.select("document_id", F.col("section_id").alias("dst"), "ordinal", "title")
     key = ["document_id", "start", "dst"]
 

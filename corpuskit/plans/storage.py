@@ -377,7 +377,7 @@ def stream_dedup(spark, sf):
     rows = rows.select(
         "doc_id", F.col("doc_id").cast("string").alias("text"), F.concat(host, "lang", F.lit("/"), size).alias("url")
     )
-    return _finish(spark, J.stream_dedup(rows), "dedup").select("url_key")
+    return _finish(spark, J.stream_dedup(rows, "doc_id"), "dedup").select("url_key")
 
 
 def _stream_messages(spark, sf):

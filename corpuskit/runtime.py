@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -41,6 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write to a new table in the shared folder and read it back: computed once, for costly rows.
+
+    (A checkpoint runs its last stage twice.)
+    """
+    path = f"{shared_dir(df.sparkSession)}/corpuskit-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest group (map-side combined count, one number to the driver)."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -66,10 +77,12 @@ def ranked(
     ).withColumn("_block", F.shiftright("_pos", 33))
     blocks = placed.groupBy(*keys, "_block").agg(F.min("_pos").alias("_start"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [placed[k].eqNullSafe(offsets[k]) for k in [*keys, "_block"]]
-    return placed.join(offsets, same, "left").select(
-        *[placed[c] for c in df.columns],
+    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    on = [*keys, "_block"]
+    offsets = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in on], "_start", "_offset")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on]
+    return placed.join(offsets, same).select(
+        *df.columns,
         (F.col("_offset") + F.col("_pos") - F.col("_start") + 1).cast("long").alias(out),
     )
 

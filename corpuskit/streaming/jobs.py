@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpuskit.functions.text import content_hash
-from corpuskit.functions.urls import canonicalize_url
+from corpuskit.functions.urls import url_key
 from corpuskit.operators import chunking as K
 from corpuskit.operators.conversations import round_text
 from corpuskit.operators.documents import chunk_text
@@ -38,10 +38,20 @@ def stream_ingest(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
 
 def stream_dedup(
-    rows: DataFrame, url: str = "url", text: str = "text", arrival: str | None = None, delay: str | None = None
+    rows: DataFrame,
+    row_id: str,
+    url: str = "url",
+    text: str = "text",
+    arrival: str | None = None,
+    delay: str | None = None,
 ) -> DataFrame:
-    """First arrival per canonical URL, then per content hash. ``arrival`` and ``delay`` bound the state."""
-    keyed = rows.withColumn("url_key", canonicalize_url(F.col(url))).withColumn("hash_key", content_hash(F.col(text)))
+    """First arrival per canonical URL, then per content hash. ``arrival`` and ``delay`` bound the state.
+
+    A row without URL or text gets a key of its own in that stage, so it is kept.
+    """
+    own = F.concat(F.lit("row "), F.col(row_id).cast("string"))
+    hashed = F.when(F.col(text) != "", content_hash(F.col(text)))
+    keyed = rows.withColumns({"url_key": F.coalesce(url_key(F.col(url)), own), "hash_key": F.coalesce(hashed, own)})
     if arrival and delay:
         keyed = keyed.withWatermark(arrival, delay)
         return keyed.dropDuplicatesWithinWatermark(["url_key"]).dropDuplicatesWithinWatermark(["hash_key"])
