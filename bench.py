@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from corpuskit import plans  # noqa: E402
+from corpuskit import plans, runtime  # noqa: E402
 
 HEADLINE = (
     "hybrid_topk keyword_topk vector_topk knowledge_search memory_search search_documents chat_retrieval "
@@ -49,6 +49,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        runtime.release(spark)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))

@@ -176,15 +176,22 @@ def _output(hits: pa.Table, queries: _Queries, fields: pa.Schema) -> pa.Table:
     return table.select(fields.names).cast(fields)
 
 
-def _group_queries(rows, how: Scoring) -> dict:
-    """Prepared queries per scope from (query_id, scope, text, vector) rows."""
-    scopes: dict = {}
-    for query_id, scope, text, vector in rows:
-        ids, texts, vectors = scopes.setdefault(scope, ([], [], []))
-        ids.append(query_id)
-        texts.append(text or "")
-        vectors.append(vector)
-    return {scope: _Queries(ids, texts, vectors, how) for scope, (ids, texts, vectors) in scopes.items()}
+class _Scopes(dict):
+    """Queries by scope from (query_id, scope, text, vector) rows, prepared when a scope is met."""
+
+    def __init__(self, rows, how: Scoring):
+        super().__init__()
+        self.how = how
+        self.raw: dict = {}
+        for query_id, scope, text, vector in rows:
+            ids, texts, vectors = self.raw.setdefault(scope, ([], [], []))
+            ids.append(query_id)
+            texts.append(text or "")
+            vectors.append(vector)
+
+    def __missing__(self, scope) -> _Queries:
+        self[scope] = _Queries(*self.raw[scope], self.how)
+        return self[scope]
 
 
 def _shipped(rows: DataFrame, queries: list, how: Scoring, schema: T.StructType) -> DataFrame:
@@ -192,13 +199,13 @@ def _shipped(rows: DataFrame, queries: list, how: Scoring, schema: T.StructType)
     fields = to_arrow_schema(schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = _group_queries(queries, how)
+        prepared = _Scopes(queries, how)
         kept: dict = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
             scopes = table.column("_scope").to_pandas()
             for scope, index in scopes.groupby(scopes, sort=False).indices.items():
-                if scope not in prepared:
+                if scope not in prepared.raw:
                     continue
                 hits = _candidates(table.take(pa.array(index)), prepared[scope], how)
                 if scope in kept:
@@ -233,7 +240,8 @@ def _cogrouped(rows: DataFrame, queries: DataFrame, how: Scoring, schema: T.Stru
         if block.num_rows == 0 or part.num_rows == 0:
             return fields.empty_table()
         columns = [block.column(c).to_pylist() for c in ("query_id", "_scope", "_text", "_vector")]
-        (prepared,) = _group_queries(zip(*columns), how).values()
+        scopes = _Scopes(zip(*columns), how)
+        prepared = scopes[columns[1][0]]
         return _output(_candidates(part, prepared, how), prepared, fields)
 
     keys = ["_scope", "_block", "_part"]

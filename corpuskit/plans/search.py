@@ -68,6 +68,20 @@ HYBRID = BY_USER + sql_pairs() + "," + sql_hits(FINAL, 5, "kw > 0 OR vec > 0")
 HIT_COLUMNS = "query_id, rank, chunk_id, document_id, document_title, chunk_title, snippet, score"
 
 
+@query(
+    "chunks_with_documents",
+    M.with_sql(
+        M.DOC_SQL,
+        "SELECT document_id, chunk_id, user_id, domain, document_title, md5(search_text) AS text_md5 FROM candidates",
+    ),
+)
+def chunks_with_documents(spark, sf):
+    joined = candidates(spark, sf)
+    return joined.select(
+        "document_id", "chunk_id", "user_id", "domain", "document_title", F.md5("search_text").alias("text_md5")
+    )
+
+
 @query("hybrid_topk", M.with_sql(M.DOC_SQL, HYBRID + f" SELECT {HIT_COLUMNS} FROM hits"))
 def hybrid_topk(spark, sf):
     return R.hybrid_topk(M.queries(spark, sf), candidates(spark, sf), 5)

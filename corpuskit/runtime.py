@@ -18,6 +18,8 @@ GROUP_ROW_LIMIT = 2_000_000
 SHIPPED_ROW_LIMIT = 5_000
 SHIPPED_CHAR_LIMIT = 16_000_000
 
+_tables: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir`` of the session.
@@ -49,9 +51,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/corpuskit-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote. Call it when their results are stored."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest group (map-side combined count, one number to the driver)."""
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0

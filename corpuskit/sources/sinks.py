@@ -102,7 +102,9 @@ def append_idempotent(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     Jobs without a key are always appended.
     """
     blocked = existing.filter(F.col("status").isin(*BLOCKING_STATUSES)).select("idempotency_key").distinct()
-    fresh = incoming.join(blocked, "idempotency_key", "left_anti")
+    keyed = F.coalesce("idempotency_key", F.lit("")) != ""
+    fresh = incoming.filter(keyed).join(blocked, "idempotency_key", "left_anti")
+    fresh = fresh.unionByName(incoming.filter(~keyed))
     firsts = first_per_key(fresh, "idempotency_key", "job_id", ["created_at"])
     return fresh.join(firsts, "job_id", "left_semi").withColumn("status", F.lit("queued"))
 

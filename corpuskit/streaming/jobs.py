@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,9 @@ from corpuskit.operators.conversations import round_text
 from corpuskit.operators.documents import chunk_text
 from corpuskit.operators.pages import normalize_pages, quality_gate
 
+# The process that sets up a stateful operator does not get shipped packages: send the code itself.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PENDING_TTL_MS = 7 * 24 * 3600 * 1000
 
