@@ -48,10 +48,6 @@ def with_sql(names: str, body: str) -> str:
     return f"WITH {tables} {body}"
 
 
-def with_recursive_sql(names: str, body: str) -> str:
-    return with_sql(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 DOC_SQL = "raw_docs chunks summaries docs candidates queries"
 
 
