@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 # Bytes of text that one vectorised step handles: bounds the memory of a task.
 STEP_BYTES = 2_000_000
+# Distinct words whose results a worker keeps, in each of two generations.
+CACHED_WORDS = 200_000
 U64 = np.uint64
 
 
@@ -150,6 +152,31 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(h + lengths.astype(U64)), np.searchsorted(starts, offsets - begin)
 
 
+# ---- words -----------------------------------------------------------------------------------------------------------
+
+
+class WordCache:
+    """Results of ``make`` by word. The older of two generations is given up when the younger is full."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int = CACHED_WORDS):
+        self.make, self.size = make, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def many(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        if None not in found:
+            return found
+        missing = [w for w in dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None)]
+        known = {w: self.old[w] for w in missing if w in self.old}
+        new = [w for w in missing if w not in known]
+        known.update(zip(new, self.make(new), strict=True))
+        if len(self.young) + len(known) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(known)
+        return [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+
+
 # ---- connected components ---------------------------------------------------------------------------------------
 
 
