@@ -46,3 +46,25 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import exact_dedup
 
     return exact_dedup.exact_groups(documents(spark, sf))
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpuskit.llm import bpe
+
+    return bpe.round_trip(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_token_files")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from corpuskit.llm import token_files
+
+    docs, folder = documents(spark, sf), f"{runtime.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(docs.select("doc_id").distinct(), folder)
