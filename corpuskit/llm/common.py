@@ -125,14 +125,17 @@ _LOWER[65:91] += 32
 _LOWER_CODES = _BYTE_CODES[_LOWER]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered, of consecutive documents, and each document's first word.
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (bytes between separators, A-Z lowered) of consecutive documents, and their word offsets.
 
-    data: the bytes; offsets: len(documents) + 1 ends into them. Returns (hash per word, word offsets per document).
+    data: the bytes; offsets: len(documents) + 1 ends into them; separates: by byte, white space unless given.
+    Returns (hash per word, offsets of each document's words).
     """
     begin, end = int(offsets[0]), int(offsets[-1])
     part = data[begin:end]
-    word = ~IS_SPACE[part]
+    word = ~separates[part]
     at = np.flatnonzero(word)
     if not len(at):
         return np.empty(0, U64), np.zeros(len(offsets), np.int64)

@@ -68,3 +68,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs, folder = documents(spark, sf), f"{runtime.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(docs.select("doc_id").distinct(), folder)
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import toxicity
+
+    docs = documents(spark, sf)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
