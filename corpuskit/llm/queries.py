@@ -76,3 +76,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import language
+
+    docs = documents(spark, sf)
+    return language.predict(docs, language.train(docs))
