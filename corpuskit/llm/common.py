@@ -211,3 +211,24 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
 
 def _edge(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+# ---- members of groups ------------------------------------------------------------------------------------------
+
+# Groups above this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+
+
+def look_up(members: DataFrame, groups: DataFrame, on: list[str], size: str, rows: int) -> DataFrame:
+    """Inner join of ``members`` with their group (unique by ``on``); ``size`` is the group's number of members.
+
+    Groups above HOT_SHARE of all ``rows`` are at most 1,000 and are broadcast, so a group that holds a third of all
+    rows is never shuffled into one task; the others are joined by a shuffle.
+    """
+    hot = max(1, int(rows * HOT_SHARE))
+    extra = [c for c in groups.columns if c not in on]
+    large = groups.filter(F.col(size) > hot).withColumn("_large", F.lit(True))
+    marked = members.join(F.broadcast(large), on, "left")
+    found = marked.filter("_large").select(*members.columns, *extra)
+    rest = marked.filter("_large is null").select(*members.columns)
+    return found.unionByName(rest.join(groups.filter(F.col(size) <= hot), on).select(*members.columns, *extra))

@@ -9,8 +9,6 @@ from corpuskit.llm import common
 
 # Parts of a digest group in the second stage.
 SALTS = 64
-# Groups above this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
 
 
 def normalised(text: Column) -> Column:
@@ -26,8 +24,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Copies meet in three steps, and every step groups by the digest and the whole text: in the tasks that read them
     (partial aggregate), in one of ``salts`` parts of their digest, and globally among the winners of the parts. So a
     text that a third of all rows share arrives as at most ``salts`` rows. The members then look up their group by
-    SHA-256, MD5 and length: by broadcast for the groups above HOT_SHARE of all rows (at most 1,000), by a join for
-    the others, whose groups are small.
+    SHA-256, MD5 and length: by broadcast for the groups above a thousandth of all rows (at most 1,000), by a join for
+    the others.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
     read = read.filter("doc_id is not null")
@@ -38,20 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps = common.Steps(docs.sparkSession)
     groups = steps.write(winners.select(*_key(), "keep_id", "group_size"))
     rows = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = max(1, int(rows * HOT_SHARE))
-    members = keyed.select("doc_id", *_key())
-    on = ["_sha", "_md5", "_length"]
-    large = groups.filter(F.col("group_size") > hot).select(
-        *on, F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size")
-    )
-    members = members.join(F.broadcast(large), on, "left")
-    found = members.filter("_hot_id is not null").select(
-        "doc_id", F.col("_hot_id").alias("keep_id"), F.col("_hot_size").alias("group_size"), "_sha"
-    )
-    small = members.filter("_hot_id is null").drop("_hot_id", "_hot_size")
-    found = found.unionByName(
-        small.join(groups.filter(F.col("group_size") <= hot), on).select("doc_id", "keep_id", "group_size", "_sha")
-    )
+    found = common.look_up(keyed.select("doc_id", *_key()), groups, ["_sha", "_md5", "_length"], "group_size", rows)
     return found.select(
         "doc_id",
         "keep_id",

@@ -84,3 +84,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf)
     return language.predict(docs, language.train(docs))
+
+
+@query("op9_ngram_join")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import ngram_join
+
+    return ngram_join.jaccard_components(documents(spark, sf))
