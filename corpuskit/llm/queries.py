@@ -91,3 +91,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import ngram_join
 
     return ngram_join.jaccard_components(documents(spark, sf))
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import repeats
+
+    return repeats.remove_repeats(documents(spark, sf))
