@@ -155,6 +155,28 @@ def word_hashes(
     return mix(h + lengths.astype(U64)), np.searchsorted(starts, offsets - begin)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of equal ``by`` from sorted batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for k, (first, last) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = batch.slice(first, last - first)
+            if k == 0 and rest and any(rest[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in by):
+                yield pa.Table.from_batches(rest)
+                rest = []
+            elif k:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(part)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 # ---- words -----------------------------------------------------------------------------------------------------------
 
 

@@ -363,7 +363,7 @@ def _across(members: DataFrame, found: DataFrame, info: DataFrame, percent: int)
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ("key", "i", "j")):
+        for group in common.sorted_groups(batches, ("key", "i", "j")):
             a, b = _block_pairs(group, percent)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -373,28 +373,6 @@ def _across(members: DataFrame, found: DataFrame, info: DataFrame, percent: int)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables of equal ``by`` from sorted batches."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
-        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for k, (first, last) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            part = batch.slice(first, last - first)
-            if k == 0 and rest and any(rest[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in by):
-                yield pa.Table.from_batches(rest)
-                rest = []
-            elif k:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(part)
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def _block_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     ids, comp, n, own = (group.column(c).to_numpy() for c in ("id", "component", "n", "own"))
     x, y = np.triu_indices(len(ids), 1)

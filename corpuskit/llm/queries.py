@@ -98,3 +98,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import repeats
 
     return repeats.remove_repeats(documents(spark, sf))
+
+
+@query("op6_embedding_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))

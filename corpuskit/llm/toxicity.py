@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, ro
     found: dict[int, bytes] = {}
     for r in picked.mapInArrow(run, "doc_id long, features binary").toLocalIterator():
         found[r["doc_id"]] = max(found.get(r["doc_id"], b""), bytes(r["features"]))
-    return fit([(np.frombuffer(found[i], "<i4").astype(np.int64), label[i]) for i in label if i in found])
+    return fit([(np.frombuffer(found[i], "<i4"), label[i]) for i in label if i in found])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
