@@ -105,3 +105,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import embedding_dedup
 
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import pii
+
+    docs = documents(spark, sf)
+    return pii.find_all(docs, pii.train(docs))
