@@ -113,3 +113,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf)
     return pii.find_all(docs, pii.train(docs))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpuskit.llm import packing
+
+    docs = documents(spark, sf)
+    return packing.pack(docs, packing.words(F.col("text")), F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256))
