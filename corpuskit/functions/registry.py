@@ -91,6 +91,7 @@ def register_all(spark: SparkSession, user_id: int | str | None = None) -> list[
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
     spark.udtf.register("ck_sections", MarkdownSections)
     spark.udtf.register("ck_text_chunks", TextChunks)
-    owner = "CAST(NULL AS STRING)" if user_id is None else "'" + str(user_id).replace("'", "\\'") + "'"
+    # hexadecimal, so that no character of an id can end the literal
+    owner = "CAST(NULL AS STRING)" if user_id is None else f"decode(X'{str(user_id).encode().hex()}', 'UTF-8')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ck_user_id() RETURNS STRING RETURN {owner}")
     return [{"name": f.name, "description": f.description, "parameters": _parameters(f)} for f in FUNCTIONS]

@@ -93,9 +93,13 @@ def _parsed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return markdown.unionByName(plain.withColumn("title", name))
 
 
-def chunk_id() -> Column:
-    """Stable id of a chunk: document, section and part."""
-    return F.sha2(F.concat_ws("|", "doc_id", "section_index", "part_index"), 256)
+def chunk_id(columns: list[str]) -> Column:
+    """Stable id of a chunk: owner, source, document within the source, section and part, as far as the rows have them.
+
+    The parts are written as JSON, so no two lists of parts give one text.
+    """
+    parts = [c for c in ("user_id", "source", "doc_id", "doc_key", "section_index", "part_index") if c in columns]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
 
 
 def ingest_corpus(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
@@ -104,7 +108,8 @@ def ingest_corpus(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CH
     Markdown is cut into sections first; other text is chunked as a whole. Ids are stable, so a
     repeated ingest replaces its chunks.
     """
-    parsed = extract_keywords(_parsed(docs, size, overlap)).withColumn("chunk_id", chunk_id())
+    parsed = extract_keywords(_parsed(docs, size, overlap))
+    parsed = parsed.withColumn("chunk_id", chunk_id(parsed.columns))
     return parsed.withColumn("tags", F.array().cast("array<string>"))
 
 
@@ -114,14 +119,15 @@ def ingest_json_sections(sections: DataFrame, size: int = K.CHUNK_SIZE, overlap:
     parts = sections.select(
         *kept, F.posexplode(K.chunks_column(F.col("content"), size, overlap)).alias("part_index", "content")
     )
-    return extract_keywords(parts.withColumn("title", F.col("title_path"))).withColumn("chunk_id", chunk_id())
+    found = extract_keywords(parts.withColumn("title", F.col("title_path")))
+    return found.withColumn("chunk_id", chunk_id(found.columns)).drop("doc_key")
 
 
 def ingest_user_documents(docs: DataFrame, size: int = 600, overlap: int = 120) -> tuple[DataFrame, DataFrame]:
     """Uploaded documents (document_id, title, text, extension, ...) as (documents, chunks).
 
-    Blank chunks are dropped. A document whose parse gives nothing becomes one chunk of its
-    first ``2 x size`` characters. A document without text is marked as failed.
+    Blank chunks are dropped. A document whose parse gives nothing is chunked as plain text. A
+    document without text is marked as failed.
     """
     named = docs.withColumn("doc_id", F.col("document_id").cast("string"))
     source = named.filter("text IS NOT NULL").select("document_id", "doc_id", "text", "extension", F.col("title").alias("name"))
@@ -131,17 +137,16 @@ def ingest_user_documents(docs: DataFrame, size: int = 600, overlap: int = 120)
     found = parsed.filter("content <> ''").select(
         "document_id", "section_index", "part_index", F.substring(label, 1, 255).alias("chunk_title"), "content"
     )
-    whole = X.strip(F.col("text"))
-    fallback = (
-        source.join(found.select("document_id").distinct(), "document_id", "left_anti")
-        .filter(whole != "")
-        .select(
-            "document_id",
-            F.lit(0).cast("long").alias("section_index"),
-            F.lit(0).alias("part_index"),
-            F.substring("name", 1, 255).alias("chunk_title"),
-            F.substring(whole, 1, 2 * size).alias("content"),
-        )
+    lost = source.join(found.select("document_id").distinct(), "document_id", "left_anti")
+    parts = lost.select(
+        "document_id", "name", F.posexplode(K.chunks_column(X.strip(F.col("text")), size, overlap)).alias("part_index", "content")
+    )
+    fallback = parts.filter(X.strip(F.col("content")) != "").select(
+        "document_id",
+        F.lit(0).cast("long").alias("section_index"),
+        "part_index",
+        F.substring("name", 1, 255).alias("chunk_title"),
+        X.strip(F.col("content")).alias("content"),
     )
     order = [F.asc("section_index"), F.asc("part_index")]
     chunks = runtime.ranked(found.unionByName(fallback), ["document_id"], order, "_rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -23,8 +24,6 @@ CONTENT_SELECTORS = (
     ".content", "#content", ".post-body", ".article-body",
 )
 MIN_CONTENT = 200
-MAX_LINKS = 100
-MAX_LINK_TEXT = 200
 # -----------------------------------------------------------------------------
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,12 +88,17 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self.open = [self.root]
+        self.count: Counter[str] = Counter()
         self.in_text = False
 
     def _close(self, tags, stops) -> None:
+        # without such a tag open there is nothing to look for: stray end tags stay cheap
+        if not any(self.count[tag] for tag in tags):
+            return
         for at in range(len(self.open) - 1, 0, -1):
             tag = self.open[at].tag
             if tag in tags:
+                self.count.subtract(node.tag for node in self.open[at:])
                 del self.open[at:]
                 return
             if tag in stops:
@@ -112,11 +116,12 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open.pop()
+            self.count[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag):
         self.in_text = False
@@ -204,9 +209,7 @@ def _links(content: _Node, base: str) -> list[dict[str, str]]:
                 continue
         text = node.text()
         if text and href:
-            found.append({"text": text[:MAX_LINK_TEXT], "href": href})
-            if len(found) == MAX_LINKS:
-                break
+            found.append({"text": text, "href": href})
     return found
 
 

@@ -33,9 +33,17 @@ def scope_documents(docs: DataFrame, scopes: DataFrame, published_only: bool = F
     return kept.filter("is_published") if published_only else kept
 
 
-def scope_user(docs: DataFrame, user_id: int, domain: str | None = None, document_id: int | None = None) -> DataFrame:
+def scope_user(
+    docs: DataFrame,
+    user_id: int,
+    domain: str | None = None,
+    document_id: int | None = None,
+    published_only: bool = False,
+) -> DataFrame:
     """Scope of a single user as plain filters, which reach the file scan."""
     kept = docs.filter(F.col("user_id") == user_id)
+    if published_only:
+        kept = kept.filter("is_published")
     if domain:
         kept = kept.filter(F.col("domain") == domain)
     if document_id is not None:
@@ -60,17 +68,22 @@ def query_chunk_candidates(queries: DataFrame, candidates: DataFrame, k: int, sc
     """
     how = Scoring(k=k, keyword="overlap", vector="text", keep_zero=True)
     rows = _with_hit_columns(candidates)
-    return best_per_keyword_score(queries, rows, how, payload=HIT, scope=scope, newest="created_at").drop("_id", "_newest")
+    return best_per_keyword_score(stripped(queries), rows, how, payload=HIT, scope=scope, newest="created_at").drop("_id", "_newest")
 
 
 def _with_hit_columns(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("snippet", X.snippet(F.col("content"), 160))
 
 
+def stripped(queries: DataFrame) -> DataFrame:
+    """Queries without white space around their text; a null text is blank."""
+    return queries.withColumn("query_text", X.strip(F.coalesce("query_text", F.lit(""))))
+
+
 def keyword_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scope: str = "user_id", **limits) -> DataFrame:
-    """Top k by keyword score, newest document first among equals."""
+    """Top k by keyword score, newest document first among equals; a blank query has no keyword and no hit."""
     return score_topk(
-        queries,
+        stripped(queries),
         _with_hit_columns(candidates),
         Scoring(k=k, keyword="overlap", vector=None),
         final_score=F.col("kw"),
@@ -85,11 +98,12 @@ def hybrid_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scope: st
     """Top k by 0.7 x cosine + 0.3 x keyword score relative to the query's best keyword score.
 
     The cosine is rounded to 6 digits before ranking; ties go to the newest document, then the
-    smallest chunk id.
+    smallest chunk id. A blank query gets the preview of its scope.
     """
+    queries = stripped(queries)
     keyword = F.when(F.col("max_kw") > 0, F.col("kw") / F.col("max_kw")).otherwise(0.0)
     hits = score_topk(
-        queries,
+        queries.filter("query_text <> ''"),
         _with_hit_columns(candidates),
         Scoring(k=k, keyword="overlap", vector="text"),
         final_score=VECTOR_WEIGHT * F.col("vec") + KEYWORD_WEIGHT * keyword,
@@ -98,7 +112,9 @@ def hybrid_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scope: st
         newest="created_at",
         **limits,
     )
-    return hits.withColumn("score", F.round("score", 6)).drop("kw", "vec")
+    hits = hits.withColumn("score", F.round("score", 6)).drop("kw", "vec")
+    previews = empty_query_preview(queries.filter("query_text = ''"), candidates, k, scope)
+    return hits.unionByName(previews.select(*hits.columns))
 
 
 def vector_topk(
@@ -126,9 +142,10 @@ def vector_topk(
 def empty_query_preview(requests: DataFrame, candidates: DataFrame, k: int, scope: str = "user_id") -> DataFrame:
     """First k chunks of the scope (newest document first) for every request without a query."""
     order = Window.partitionBy(scope).orderBy(F.desc("created_at"), F.asc("chunk_id"))
+    candidates = candidates.join(requests.select(scope).distinct(), scope, "left_semi")
     first = _with_hit_columns(candidates).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    first = first.select(scope, "rank", *HIT, F.lit(PREVIEW_SCORE).alias("score"))
-    return requests.select("query_id", scope).join(first, scope).drop(scope)
+    first = first.select(F.col(scope).alias("_asked"), "rank", *HIT, F.lit(PREVIEW_SCORE).alias("score"))
+    return requests.select("query_id", F.col(scope).alias("_asked")).join(first, "_asked").drop("_asked")
 
 
 def best_chunk_per_document(hits: DataFrame, k: int) -> DataFrame:
@@ -142,7 +159,11 @@ def best_chunk_per_document(hits: DataFrame, k: int) -> DataFrame:
 def search_documents(
     queries: DataFrame, candidates: DataFrame, docs: DataFrame, k: int = 5, scope: str = "user_id"
 ) -> DataFrame:
-    """Documents by their best chunk; queries without any hit fall back to title and summary."""
+    """Documents by their best chunk; queries without any hit fall back to title and summary.
+
+    Query texts are stripped; a blank query gets the documents of its scope's preview.
+    """
+    queries = stripped(queries)
     hits = best_chunk_per_document(runtime.materialize(hybrid_topk(queries, candidates, k, scope)), k)
     found = hits.select("query_id", "rank", "document_id", F.col("document_title").alias("title"), "snippet", "score")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
@@ -181,9 +202,10 @@ def chat_retrieval(turns: DataFrame, candidates: DataFrame, k: int = 4) -> DataF
     user = F.col("user_id").cast("string")
     in_document = F.concat_ws("/", user, F.col("document_id").cast("string"))
     placed = candidates.withColumn("turn_scope", F.explode(F.array(in_document, F.concat(user, F.lit("/*")))))
+    placed = placed.join(scoped.select("turn_scope").distinct(), "turn_scope", "left_semi")
     overview = F.col("document_id").isNotNull() & classify_summary_request(F.col("query_text"))
     summaries = scoped.filter(overview)
-    searches = scoped.filter(~overview & (X.strip(F.col("query_text")) != ""))
+    searches = scoped.filter(~overview & (X.strip(F.coalesce("query_text", F.lit(""))) != ""))
     hits = runtime.materialize(hybrid_topk(searches, placed, k, "turn_scope"))
     bound = scoped.filter(~overview & F.col("document_id").isNotNull())
     missed = bound.join(hits.select("query_id").distinct(), "query_id", "left_anti")

@@ -175,46 +175,49 @@ def concept_neighbors(
 
     A direct neighbour scores the weight of its edge, every further hop half of the node before.
     The best score of a node counts, with the relation of the last edge; ties go to the section
-    that appears first. A start leaves the expansion when nothing it can still reach would enter
-    its top ``k``.
+    that appears first. Runs one job per hop.
+
+    Only the best ``k`` nodes of a start are kept after each hop: whatever a node outside them
+    reaches scores less than all of them. From there a hop goes to the ``k + 1`` neighbours that
+    appear first, as all neighbours of a node score the same. So a hub with many neighbours adds
+    at most ``k + 1`` rows per start and hop.
     """
-    links = runtime.materialize(undirected_edges(edges).select("document_id", "src", "dst", "type", "weight"))
     nodes = runtime.materialize(nodes.select("document_id", "section_id", "ordinal", "title"))
     ordinal = nodes.select("document_id", F.col("section_id").alias("dst"), "ordinal", "title")
+    links = undirected_edges(edges).select("document_id", "src", "dst", "type", "weight")
+    links = runtime.materialize(links.join(ordinal.drop("title"), ["document_id", "dst"]))
     key = ["document_id", "start", "dst"]
 
     def best_of(rows: DataFrame) -> DataFrame:
-        # highest score first, then the smallest relation name
+        # highest score first, then the smallest relation name; then the best k of each start
         top = F.min(F.struct((-F.col("score")).alias("s"), F.col("type").alias("t"))).alias("b")
-        return rows.groupBy(*key).agg(top).select(*key, (-F.col("b.s")).alias("score"), F.col("b.t").alias("type"))
+        merged = rows.groupBy(*key).agg(top, F.min("ordinal").alias("ordinal"))
+        merged = merged.select(*key, (-F.col("b.s")).alias("score"), F.col("b.t").alias("type"), "ordinal")
+        order = Window.partitionBy("document_id", "start").orderBy(F.desc("score"), F.asc("ordinal"))
+        return merged.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+    onward = links.groupBy("document_id", "src", "dst").agg(F.min("type").alias("type"), F.min("ordinal").alias("ordinal"))
+    nearest = Window.partitionBy("document_id", "src").orderBy("ordinal")
+    onward = onward.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= k + 1).drop("_r")
+    onward = runtime.materialize(onward)
 
     known = starts.join(nodes.select("document_id", F.col("section_id").alias("start")), ["document_id", "start"], "left_semi")
     first = known.join(links, (known["document_id"] == links["document_id"]) & (known["start"] == links["src"])).select(
-        known["document_id"], "start", "dst", F.col("weight").alias("score"), "type"
+        known["document_id"], "start", "dst", F.col("weight").alias("score"), "type", "ordinal"
     )
     best = runtime.cut_lineage(best_of(first.filter("dst <> start")))
     frontier, hops = best, 1
     while not frontier.isEmpty() and (max_hops is None or hops < max_hops):
-        order = Window.partitionBy("document_id", "start").orderBy(F.desc("score"))
-        floor = (
-            best.withColumn("_r", F.row_number().over(order))
-            .filter(F.col("_r") == k)
-            .select("document_id", "start", F.col("score").alias("floor"))
-        )
-        useful = frontier.join(floor, ["document_id", "start"], "left").filter(
-            F.col("floor").isNull() | (F.col("score") * 0.5 >= F.col("floor"))
-        )
-        step = useful.select("document_id", "start", F.col("dst").alias("src"), (F.col("score") * 0.5).alias("score"))
-        reached = step.join(links.drop("weight"), ["document_id", "src"]).filter("dst <> start")
-        reached = best_of(reached.select(*key, "score", "type"))
+        step = frontier.select("document_id", "start", F.col("dst").alias("src"), (F.col("score") * 0.5).alias("score"))
+        reached = step.join(onward, ["document_id", "src"]).filter("dst <> start")
+        new = runtime.cut_lineage(best_of(best.unionByName(reached.select(*key, "score", "type", "ordinal"))))
         old = best.select(*key, F.col("score").alias("old"))
-        better = reached.join(old, key, "left").filter(F.col("old").isNull() | (F.col("score") > F.col("old"))).drop("old")
-        frontier = runtime.cut_lineage(better)
-        best = runtime.cut_lineage(best_of(best.unionByName(frontier)))
+        frontier = new.join(old, key, "left").filter(F.col("old").isNull() | (F.col("score") > F.col("old"))).drop("old")
+        best = new
         hops += 1
     order = Window.partitionBy("document_id", "start").orderBy(F.desc("score"), F.asc("ordinal"))
     return (
-        best.join(ordinal, ["document_id", "dst"])
+        best.join(ordinal.drop("ordinal"), ["document_id", "dst"])
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select(

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ except ImportError:  # plain substring tests are used instead
 # Rows of a scope that one co-group task holds, and queries per block, when queries are not shipped.
 PART_ROWS = 50_000
 BLOCK_QUERIES = 1_000
+SALTS = 32
 _PAIRS_AT_ONCE = 1_000_000
 
 
@@ -62,6 +64,24 @@ def _tokens(lowered: str) -> set[str]:
     return found
 
 
+class _Finder:
+    """Which of many strings a text contains: one pass of an automaton, or a test per string."""
+
+    def __init__(self, strings) -> None:
+        self.strings = list(strings)
+        self.machine = None
+        if ahocorasick is not None and len(self.strings) > 64:
+            self.machine = ahocorasick.Automaton()
+            for s in self.strings:
+                self.machine.add_word(s, s)
+            self.machine.make_automaton()
+
+    def inside(self, text: str) -> set[str]:
+        if self.machine is not None:
+            return {s for _, s in self.machine.iter(text)}
+        return {s for s in self.strings if s in text}
+
+
 class _Queries:
     """The queries of one scope, prepared for scoring."""
 
@@ -85,17 +105,8 @@ class _Queries:
         for j, t in enumerate(self.texts):
             if t:
                 self.phrases.setdefault(t, []).append(j)
-        self.machine = None
-        if ahocorasick is not None and how.keyword and len(self.phrases) > 64:
-            self.machine = ahocorasick.Automaton()
-            for phrase in self.phrases:
-                self.machine.add_word(phrase, phrase)
-            self.machine.make_automaton()
-
-    def phrases_in(self, text: str) -> set[str]:
-        if self.machine is not None:
-            return {phrase for _, phrase in self.machine.iter(text)}
-        return {phrase for phrase in self.phrases if phrase in text}
+        self.phrase_finder = _Finder(self.phrases if how.keyword else ())
+        self.part_finder = _Finder(t for t in self.vocabulary if len(t) > 1)
 
     def keyword_scores(self, texts: list[str], mode: str) -> np.ndarray:
         texts = [t.lower() for t in texts]
@@ -106,12 +117,13 @@ class _Queries:
                 present[i, [self.vocabulary[t] for t in self.vocabulary.keys() & _tokens(text)]] = 1.0
             scores = present @ self.uses
         for i, text in enumerate(texts):
-            for phrase in self.phrases_in(text):
+            for phrase in self.phrase_finder.inside(text):
                 scores[i, self.phrases[phrase]] += 3.0 if mode == "overlap" else 1.0
         if mode == "overlap":
-            for i, j in zip(*np.nonzero(scores == 0)):
-                if any(len(t) > 1 and t in texts[i] for t in self.tokens[j]):
-                    scores[i, j] = 0.5
+            partly = np.zeros(present.shape)
+            for i in np.flatnonzero((scores == 0).any(axis=1)):
+                partly[i, [self.vocabulary[t] for t in self.part_finder.inside(texts[i])]] = 1.0
+            scores[(scores == 0) & (partly @ self.uses > 0)] = 0.5
         return scores
 
     def vector_scores(self, rows: np.ndarray) -> np.ndarray:
@@ -152,12 +164,12 @@ def _candidates(table: pa.Table, queries: _Queries, how: Scoring) -> pa.Table:
                 picked_queries.append(np.full(len(rows_j), j))
         if picked_rows:
             r, q = np.concatenate(picked_rows), np.concatenate(picked_queries)
-            hits = part.take(pa.array(r))
+            hits = part.drop_columns(["_text", "_vector"]).take(pa.array(r))
             hits = hits.append_column("_query", pa.array(q))
             hits = hits.append_column("kw", pa.array(kw[r, q])).append_column("vec", pa.array(vec[r, q]))
             found.append(_prune(hits, how.k))
     if not found:
-        empty = table.slice(0, 0).append_column("_query", pa.array([], pa.int64()))
+        empty = table.slice(0, 0).drop_columns(["_text", "_vector"]).append_column("_query", pa.array([], pa.int64()))
         return empty.append_column("kw", pa.array([], pa.float64())).append_column("vec", pa.array([], pa.float64()))
     return _prune(pa.concat_tables(found), how.k)
 
@@ -195,24 +207,32 @@ class _Scopes(dict):
 
 
 def _shipped(rows: DataFrame, queries: list, how: Scoring, schema: T.StructType) -> DataFrame:
-    """Score with the queries inside the task closure; nothing is shuffled here."""
+    """Score with the queries inside the task closure; rows of scopes nobody asks for never reach Python."""
     fields = to_arrow_schema(schema)
+    asked = {scope for _, scope, _, _ in queries if scope is not None}
+    rows = rows.filter(F.col("_scope").isin(*asked)) if asked else rows.limit(0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = _Scopes(queries, how)
         kept: dict = {}
+        limit: dict = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            scopes = table.column("_scope").to_pandas()
-            for scope, index in scopes.groupby(scopes, sort=False).indices.items():
-                if scope not in prepared.raw:
+            # grouped in Arrow: through floats, large ids of different scopes would become one
+            scopes = batch.column("_scope").dictionary_encode()
+            for code, scope in enumerate(scopes.dictionary.to_pylist()):
+                if scope is None or scope not in prepared.raw:
                     continue
-                hits = _candidates(table.take(pa.array(index)), prepared[scope], how)
+                own = table.filter(pc.fill_null(pc.equal(scopes.indices, code), False))
+                hits = _candidates(own, prepared[scope], how)
                 if scope in kept:
-                    hits = _prune(pa.concat_tables([kept[scope], hits]), how.k)
+                    hits = pa.concat_tables([kept[scope], hits])
+                if hits.num_rows > limit.get(scope, 0):
+                    hits = _prune(hits, how.k)
+                    limit[scope] = 2 * hits.num_rows + 1_000
                 kept[scope] = hits
         for scope, hits in kept.items():
-            yield from _output(hits, prepared[scope], fields).to_batches()
+            yield from _output(_prune(hits, how.k), prepared[scope], fields).to_batches()
 
     return rows.mapInArrow(score, schema)
 
@@ -220,17 +240,25 @@ def _shipped(rows: DataFrame, queries: list, how: Scoring, schema: T.StructType)
 def _cogrouped(rows: DataFrame, queries: DataFrame, how: Scoring, schema: T.StructType) -> DataFrame:
     """Query blocks against salted parts of their scope."""
     fields = to_arrow_schema(schema)
+    queries, rows = queries.filter("_scope IS NOT NULL"), rows.filter("_scope IS NOT NULL")
     sizes = rows.groupBy("_scope").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("_parts"))
     blocks = queries.groupBy("_scope").agg(F.ceil(F.count("*") / F.lit(BLOCK_QUERIES)).cast("int").alias("_blocks"))
-    counts = sizes.join(blocks, "_scope")
+    # a scope's counts are repeated per salt, so that a hot scope meets them in many tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    counts = sizes.join(blocks, "_scope").select("*", salts)
+
+    def with_counts(df: DataFrame, id_col: str) -> DataFrame:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        return salted.join(counts, ["_scope", "_salt"]).drop("_salt")
+
     left = (
-        queries.join(counts, "_scope")
+        with_counts(queries, "query_id")
         .withColumn("_block", F.pmod(F.xxhash64("query_id"), "_blocks").cast("int"))
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .drop("_parts", "_blocks")
     )
     right = (
-        rows.join(counts, "_scope")
+        with_counts(rows, "_id")
         .withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts").cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .drop("_parts", "_blocks")
@@ -271,7 +299,7 @@ def best_per_keyword_score(
     query_text = F.col("query_text") if uses_text else F.lit("")
     row_text = F.coalesce("search_text", F.lit("")) if uses_text else F.lit("")
     asked = queries.select("query_id", F.col(scope).alias("_scope"), query_text.alias("_text"), vector.alias("_vector"))
-    recency = F.col(newest).cast("long") if newest else F.lit(0).cast("long")
+    recency = _recency(rows, newest)
     scored = rows.select(
         F.col(scope).alias("_scope"),
         F.col(row_id).alias("_id"),
@@ -285,7 +313,8 @@ def best_per_keyword_score(
         + [scored.schema[c] for c in ["_id", "_newest", *payload]]
         + [T.StructField("kw", T.DoubleType()), T.StructField("vec", T.DoubleType())]
     )
-    if runtime.fits_in_tasks(asked, "_text", row_limit, char_limit):
+    numbers = 8 * F.coalesce(F.size("_vector"), F.lit(0))
+    if runtime.fits_in_tasks(asked, F.length("_text") + F.greatest(numbers, F.lit(0)), row_limit, char_limit):
         best = _shipped(scored, [tuple(r) for r in asked.collect()], how, inner)
     else:
         best = _cogrouped(scored, asked, how, inner)
@@ -293,6 +322,15 @@ def best_per_keyword_score(
     return best.withColumn("_r", F.row_number().over(per_value)).filter(F.col("_r") <= how.k).drop("_r")
 
 
+def _recency(rows: DataFrame, newest: str | None) -> Column:
+    """Order of age as a long without nulls: microseconds of times, the value itself of numbers; null is the oldest."""
+    if newest is None:
+        return F.lit(0).cast("long")
+    timed = isinstance(rows.schema[newest].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    value = F.unix_micros(F.col(newest).cast("timestamp")) if timed else F.col(newest).cast("long")
+    return F.coalesce(value, F.lit(-(2**63)))
+
+
 def score_topk(
     queries: DataFrame, rows: DataFrame, how: Scoring, *, final_score: Column, payload: list[str], **options
 ) -> DataFrame:

@@ -124,7 +124,8 @@ def document_summary(spark, sf):
               END AS piece FROM parts),
     chunked AS (SELECT doc_id, title_path, section_index, piece, row_number() OVER (PARTITION BY doc_id, section_index
               ORDER BY p) - 1 AS part_index FROM cut WHERE piece <> ''),
-    ids AS (SELECT *, sha256(doc_id || '|' || section_index || '|' || part_index) AS chunk_id FROM chunked),
+    ids AS (SELECT *, sha256('{{"doc_id":"' || doc_id || '","section_index":' ||
+              section_index || ',"part_index":' || part_index || '}}') AS chunk_id FROM chunked),
     {sql_keywords('ids', 'chunk_id', 'piece')}
     SELECT chunk_id, doc_id::VARCHAR AS doc_id, title_path, title_path AS title, piece AS content,
            coalesce(keywords, '') AS keywords FROM ids LEFT JOIN keywords USING (chunk_id)""",

@@ -49,7 +49,7 @@ def scan_text_dir(spark, sf):
 JSON_DOC_SQL = """doc AS (SELECT *, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text,
     chr(10))))) AS i FROM documents),
   secs AS (SELECT CASE WHEN doc_id % 3 = 0 THEN CASE WHEN i = 0 THEN '' ELSE 'line ' || i END
-      WHEN i = 0 THEN 'doc ' || doc_id ELSE 'doc ' || doc_id || ' > line ' || i END AS title_path, doc_id, i AS section_index,
+      WHEN i = 0 THEN 'doc ' || doc_id ELSE 'doc ' || doc_id || ' > line ' || i END AS title_path, doc_id, text, i AS section_index,
     content, lang AS tag, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'general' END AS domain, 'rule' AS doc_type
     FROM doc WHERE content <> '')"""
 
@@ -86,18 +86,21 @@ def scan_json_docs(spark, sf):
 
 @query(
     "ingest_json_sections",
-    f"""WITH {JSON_DOC_SQL} SELECT title_path, domain, count(*) AS chunks, sum(length(content))::BIGINT AS chars
-        FROM (SELECT title_path, domain, trim(substring(content, p * 420 + 1, 500), {WS}) AS content FROM (SELECT *,
+    f"""WITH {JSON_DOC_SQL} SELECT title_path, domain, count(*) AS chunks, sum(length(content))::BIGINT AS chars,
+          count(DISTINCT (CASE WHEN doc_id % 3 > 0 THEN doc_id END, domain, text, tag, section_index, p)) AS ids
+        FROM (SELECT title_path, domain, doc_id, text, tag, section_index, p, trim(substring(content, p * 420 + 1, 500), {WS}) AS content FROM (SELECT *,
               unnest(range(0, CASE WHEN length(content) <= 500 THEN 1 ELSE ceil(length(content) / 420.0)::BIGINT END)) AS p
               FROM (SELECT * REPLACE (CASE WHEN length(content) > 500 THEN content ELSE content END AS content) FROM secs))
               WHERE length(content) > 500
-          UNION ALL SELECT title_path, domain, content FROM secs WHERE length(content) <= 500)
+          UNION ALL SELECT title_path, domain, doc_id, text, tag, section_index, 0, content FROM secs WHERE length(content) <= 500)
         WHERE content <> '' GROUP BY ALL""",
 )
 def ingest_json_sections(spark, sf):
     chunks = D.ingest_json_sections(json_sections(spark, sf))
     return chunks.groupBy("title_path", "domain").agg(
-        F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")
+        F.count("*").alias("chunks"),
+        F.sum(F.length("content")).alias("chars"),
+        F.count_distinct("chunk_id").alias("ids"),
     )
 
 

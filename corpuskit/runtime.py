@@ -99,10 +99,9 @@ def ranked(
     )
 
 
-def fits_in_tasks(df: DataFrame, text_col: str | None, row_limit: int, char_limit: int) -> bool:
+def fits_in_tasks(df: DataFrame, size_of_row: Column, row_limit: int, char_limit: int) -> bool:
     """True when ``df`` is small enough to be shipped to every task."""
-    chars = F.sum(F.length(text_col)) if text_col else F.lit(0)
-    size = df.agg(F.count("*").alias("n"), F.coalesce(chars, F.lit(0)).alias("chars")).first()
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size_of_row), F.lit(0)).alias("chars")).first()
     return size["n"] <= row_limit and size["chars"] <= char_limit
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,11 @@ JSON_DOC = T.StructType(
 )
 
 
+def decoded(path: Column) -> Column:
+    """File path as it is named; Spark gives it percent-encoded, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _file_columns() -> dict:
     name = F.regexp_extract("source", r"([^/]+)$", 1)
     return {
@@ -40,7 +45,7 @@ def _file_columns() -> dict:
 def scan_text_dir(spark: SparkSession, path: str, recursive: bool = True, domain: str = "general") -> DataFrame:
     """One row per text file of a folder, or of a single named file of any type."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive or None).select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("source")
+        F.col("value").alias("text"), decoded(F.col("_metadata.file_path")).alias("source")
     )
     files = files.withColumns(_file_columns()).withColumn("domain", F.lit(domain))
     named = F.col("source").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])
@@ -54,14 +59,18 @@ def scan_json_docs(
     default_domain: str = "general",
     default_doc_type: str = "knowledge",
 ) -> DataFrame:
-    """One row per non-empty section of structured documents (a file each, or one per line)."""
+    """One row per non-empty section of structured documents (a file each, or one per line).
+
+    ``doc_key`` tells the documents of one file apart; documents that a file repeats word for word are one.
+    """
     docs = (
         spark.read.schema(JSON_DOC)
         .option("multiLine", multiline)
         .option("recursiveFileLookup", True)
         .json(path)
-        .select("*", F.col("_metadata.file_path").alias("source"))
+        .select("*", decoded(F.col("_metadata.file_path")).alias("source"))
     )
+    docs = docs.withColumn("doc_key", F.xxhash64("title", "domain", "doc_type", "sections"))
     title, heading = F.coalesce("title", F.lit("")), F.coalesce("s.heading", F.lit(""))
     both = F.concat(title, F.lit(" > "), heading)
     return (
@@ -71,6 +80,7 @@ def scan_json_docs(
         .select(
             "source",
             "doc_id",
+            "doc_key",
             "section_index",
             F.when((title != "") & (heading != ""), both).otherwise(F.concat(title, heading)).alias("title_path"),
             F.col("s.content").alias("content"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,14 +17,14 @@ BLOCKING_STATUSES = ("queued", "claimed", "completed")
 def upsert_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored chunks after an upsert by chunk_id; of several incoming rows the highest batch wins.
 
-    ``incoming`` has a ``batch`` column. The collection follows the document type.
+    ``incoming`` has a ``batch`` column. The collection follows the document type. Only the ids of the
+    batch meet the stored rows: a small batch is broadcast and the stored texts are not shuffled.
     """
     routed = incoming.withColumn("collection", collection_of(F.col("doc_type")))
-    both = existing.withColumn("batch", F.lit(-1).cast("long")).unionByName(
-        routed.withColumn("batch", F.col("batch").cast("long")), allowMissingColumns=True
-    )
     latest = Window.partitionBy("chunk_id").orderBy(F.desc("batch"))
-    return both.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r", "batch")
+    new = routed.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r", "batch")
+    kept = existing.join(new.select("chunk_id"), "chunk_id", "left_anti")
+    return kept.select(*existing.columns).unionByName(new, allowMissingColumns=True)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -49,6 +49,12 @@ def delete_chunks(
 _DOC_KEY = ["user_id", "canonical_url", "source_type"]
 
 
+def _same(left: str, right: str) -> Column:
+    """Equal keys; a missing part equals a missing part."""
+    tests = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in _DOC_KEY]
+    return tests[0] & tests[1] & tests[2]
+
+
 def upsert_document_version(
     docs: DataFrame, versions: DataFrame, incoming: DataFrame, group_limit: int = runtime.GROUP_ROW_LIMIT
 ) -> tuple[DataFrame, DataFrame]:
@@ -63,15 +69,16 @@ def upsert_document_version(
         F.max_by(F.struct("title", "summary", "fetched_at", "version_id"), place).alias("new"),
         F.min_by("document_id", place).alias("new_id"),
     )
-    merged = docs.join(latest, _DOC_KEY, "full").select(
-        *_DOC_KEY,
+    merged = docs.alias("d").join(latest.alias("l"), _same("d", "l"), "full").select(
+        *[F.coalesce(f"d.{c}", f"l.{c}").alias(c) for c in _DOC_KEY],
         F.coalesce("document_id", "new_id").alias("document_id"),
         F.coalesce("new.title", "title").alias("title"),
         F.coalesce("new.summary", "summary").alias("summary"),
         F.coalesce("new.fetched_at", "last_fetched_at").alias("last_fetched_at"),
         F.coalesce("new.version_id", "current_version_id").alias("current_version_id"),
     )
-    saved = incoming.drop("document_id").join(merged.select(*_DOC_KEY, "document_id"), _DOC_KEY)
+    ids = merged.select(*_DOC_KEY, "document_id")
+    saved = incoming.drop("document_id").alias("n").join(ids.alias("m"), _same("n", "m")).select("n.*", "m.document_id")
     numbered = runtime.ranked(
         saved, ["document_id"], [F.asc("fetched_at"), F.asc("version_id")], "_n", group_limit
     )
@@ -88,7 +95,8 @@ def upsert_document_version(
 
 def backfill_source_version(sources: DataFrame, saved: DataFrame) -> DataFrame:
     """Set the document version on the sources of saved messages (message_id, document_version_id)."""
-    new = saved.select("message_id", F.col("document_version_id").alias("_new"))
+    # of several saves of a message the latest version counts, so that no source is doubled
+    new = saved.groupBy("message_id").agg(F.max("document_version_id").alias("_new"))
     return (
         sources.join(new, "message_id", "left")
         .withColumn("document_version_id", F.coalesce("_new", "document_version_id"))
