@@ -363,24 +363,32 @@ def _finish(spark, stream, name, mode="append"):
 
 @query(
     "stream_ingest",
-    f"""WITH {CLEAN_SQL} SELECT page_id, title, quality_score FROM normal
-        WHERE NOT is_soft_404 AND quality_score >= 0.3 AND content_length >= 200""",
+    f"""WITH {CLEAN_SQL}, good AS (SELECT page_id, title, quality_score, text FROM normal
+          WHERE NOT is_soft_404 AND quality_score >= 0.3 AND content_length >= 200)
+        SELECT page_id, title, quality_score, length(regexp_replace(text, '[ \t\r\n]', '', 'g')) > 0 AS has_text FROM good""",
 )
 def stream_ingest(spark, sf):
     out = scratch(spark, "ingest")
     J.stream_ingest(_stream(spark, sf, "pages"), out, scratch(spark, "ingest-state")).awaitTermination()
-    return spark.read.parquet(out).select("page_id", "title", "quality_score").distinct()
+    chunks = J.ingested_chunks(spark, out)
+    return chunks.groupBy("page_id", "title", "quality_score").agg(F.max(F.length("content") > 0).alias("has_text"))
 
 
-@query("stream_dedup", f"WITH {ARRIVALS_SQL} SELECT DISTINCT canonical AS url_key FROM arrivals")
+@query(
+    "stream_dedup",
+    f"""WITH {ARRIVALS_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY doc_id) AS r FROM arrivals),
+    h AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN text = '' THEN 'row ' || doc_id ELSE hash END
+      ORDER BY doc_id) AS q FROM u WHERE r = 1)
+    SELECT doc_id, sha256(text) AS text_sha256 FROM h WHERE q = 1""",
+)
 def stream_dedup(spark, sf):
     rows = _stream(spark, sf, "documents")
     size = (F.col("n_chars") % 300).cast("string")
     host = F.concat(F.lit("HTTP://User@"), F.upper("source"), F.lit(".Example.com:80/"))
-    rows = rows.select(
-        "doc_id", F.col("doc_id").cast("string").alias("text"), F.concat(host, "lang", F.lit("/"), size).alias("url")
-    )
-    return _finish(spark, J.stream_dedup(rows, "doc_id"), "dedup").select("url_key")
+    rows = rows.select("doc_id", "text", F.concat(host, "lang", F.lit("/"), size).alias("url"))
+    out = scratch(spark, "dedup")
+    J.stream_first_arrivals(rows, out, scratch(spark, "dedup-state"), "doc_id", ["doc_id"]).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 def _stream_messages(spark, sf):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -16,6 +16,7 @@ from corpuskit.functions.text import content_hash
 from corpuskit.functions.urls import url_key
 from corpuskit.operators import chunking as K
 from corpuskit.operators.conversations import round_text
+from corpuskit.operators.dedup import first_per_key
 from corpuskit.operators.documents import chunk_text
 from corpuskit.operators.pages import normalize_pages, quality_gate
 
@@ -32,13 +33,66 @@ def ingest_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CH
     return chunk_text(good, "text", size, overlap)
 
 
-def stream_ingest(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the chunks of arriving pages. A repeated micro-batch replaces its own folder."""
+def one_per_page(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per page of a micro-batch: the last by ``order``, else the largest (url, html)."""
+    row = F.struct("url", "html")
+    last = F.max_by(row, F.struct(order, row)) if order else F.max(row)
+    return pages.filter("page_id IS NOT NULL").groupBy("page_id").agg(last.alias("r")).select("page_id", "r.url", "r.html")
+
+
+def stream_ingest(pages: DataFrame, out: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Store the chunks of arriving pages; ``ingested_chunks`` reads them.
+
+    Every micro-batch writes its own folder, and a repeated one replaces it. A page that arrives
+    again takes the place of its earlier chunks.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        ingest_pages(one_per_page(batch, order)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
-    writer = ingest_pages(pages).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """Chunks of the last micro-batch of each page. Only page ids and batch numbers are aggregated."""
+    stored = spark.read.parquet(out)
+    last = stored.groupBy("page_id").agg(F.max("batch").alias("batch"))
+    return stored.join(last, ["page_id", "batch"], "left_semi").drop("batch")
+
+
+def stream_first_arrivals(
+    rows: DataFrame, out: str, checkpoint: str, row_id: str, order: list[str], url: str = "url", text: str = "text"
+) -> StreamingQuery:
+    """Store the rows that ``dedup_exact`` keeps when micro-batches arrive one after the other.
+
+    First row per canonical URL, then per content hash; inside a micro-batch the smallest
+    (order, id) is first. The keys that were seen are stored next to the rows, and a repeated
+    micro-batch replaces its own. Rows without a key are kept and leave no key behind.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        keys, spark = f"{out}-keys", batch.sparkSession
+        keyed = batch.withColumns({"_url": url_key(F.col(url)), "_hash": F.when(F.col(text) != "", content_hash(F.col(text)))})
+        keyed = keyed.persist()
+        known = spark.read.parquet(keys).filter(F.col("batch") < batch_id) if batch_id else None
+
+        def first(df: DataFrame, key: str) -> DataFrame:
+            fresh = df.join(first_per_key(df, key, row_id, order), row_id, "left_semi")
+            if known is None:
+                return fresh
+            seen = known.filter(F.col("kind") == key).select(F.col("key").alias(key))
+            return fresh.join(seen, key, "left_anti")
+
+        by_url = first(keyed, "_url")
+        kept = first(by_url, "_hash")
+        parts = [(by_url, "_url"), (kept, "_hash")]
+        found = [df.filter(F.coalesce(k, F.lit("")) != "").select(F.lit(k).alias("kind"), F.col(k).alias("key")) for df, k in parts]
+        found[0].unionByName(found[1]).write.mode("overwrite").parquet(f"{keys}/batch={batch_id}")
+        kept.drop("_url", "_hash").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        keyed.unpersist()
+
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
@@ -52,7 +106,8 @@ def stream_dedup(
 ) -> DataFrame:
     """First arrival per canonical URL, then per content hash. ``arrival`` and ``delay`` bound the state.
 
-    A row without URL or text gets a key of its own in that stage, so it is kept.
+    A row without URL or text gets a key of its own in that stage, so it is kept. Which row of a
+    micro-batch is first is not defined here; ``stream_first_arrivals`` follows an order.
     """
     own = F.concat(F.lit("row "), F.col(row_id).cast("string"))
     hashed = F.when(F.col(text) != "", content_hash(F.col(text)))
