@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corpuskit import runtime
 from corpuskit.functions import text as X
 from corpuskit.operators import chunking as K
+from corpuskit.sources.readers import JSON_DOC, section_path
 
 NO_TEXT_SUMMARY = "Document parsed successfully, but no text content was extracted."
 
@@ -70,7 +71,10 @@ def extract_keywords(chunks: DataFrame, text: str = "content", n: int = K.MAX_KE
 
 
 def _parsed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunks of Markdown (``.md``) and plain text documents with title, path and index."""
+    """Chunks of Markdown (``.md``), JSON (``.json``) and plain text documents with title, path and index.
+
+    A JSON document is cut into its sections, and its own domain and type go before the given ones.
+    """
     rest = [c for c in docs.columns if c not in ("text", "extension")]
     is_markdown = F.col("extension") == ".md"
     markdown = split_markdown_sections(docs.filter(is_markdown).drop("extension")).withColumn(
@@ -83,14 +87,26 @@ def _parsed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
         "section_index",
         F.posexplode(K.chunks_column(F.col("content"), size, overlap)).alias("part_index", "content"),
     )
-    plain = docs.filter(~is_markdown).select(
+    is_json = F.col("extension") == ".json"
+    own = docs.filter(is_json).withColumn("_json", F.from_json("text", JSON_DOC))
+    own = own.withColumns({c: F.coalesce(f"_json.{c}", c) for c in ("domain", "doc_type") if c in rest})
+    sections = own.select(*rest, F.col("_json.title").alias("_title"), F.posexplode("_json.sections").alias("_at", "s"))
+    path = section_path(F.col("_title"), F.col("s.heading"))
+    sections = sections.filter(F.coalesce("s.content", F.lit("")) != "").select(
+        *rest,
+        path.alias("title_path"),
+        path.alias("title"),
+        F.col("_at").cast("long").alias("section_index"),
+        F.posexplode(K.chunks_column(F.col("s.content"), size, overlap)).alias("part_index", "content"),
+    )
+    plain = docs.filter(~F.coalesce(is_markdown | is_json, F.lit(False))).select(
         *rest,
         F.col("doc_id").alias("title_path"),
         F.lit(0).cast("long").alias("section_index"),
         F.posexplode(K.chunks_column(F.col("text"), size, overlap)).alias("part_index", "content"),
     )
     name = F.concat("doc_id", F.lit(" - 片段 "), (F.col("part_index") + 1).cast("string"))
-    return markdown.unionByName(plain.withColumn("title", name))
+    return markdown.unionByName(sections).unionByName(plain.withColumn("title", name))
 
 
 def chunk_id(columns: list[str]) -> Column:

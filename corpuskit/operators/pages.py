@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from corpuskit import runtime
 from corpuskit.functions import text as X
-from corpuskit.operators.dedup import duplicate_reasons
+from corpuskit.functions.text import content_hash, hamming
+from corpuskit.functions.urls import url_key
+from corpuskit.operators.dedup import MAX_DISTANCE, duplicate_reasons
+from corpuskit.operators.embedding import simhash_column
 from corpuskit.operators.html import page_column
 
 MIN_SCORE = 0.3
@@ -64,6 +67,50 @@ def curate_pages(pages: DataFrame, row_id: str = "page_id", order: list[str] | N
     return normalized.join(reasons, row_id, "left").withColumn("reason", reason)
 
 
+_SEEN = "struct<urls: array<string>, hashes: array<string>, prints: array<bigint>, kept: array<string>>"
+
+
+def fetched_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that each search run keeps: run_id, url, final_url, title, text, language.
+
+    ``wanted``: run_id, rank, url of the results whose text is asked for, a few per run (the ``m`` of
+    ``rank_search_results``); their keys are collected per run. ``pages``: url, html and others. Only
+    asked pages are parsed. In rank order a page is left out when an earlier one of the same run had
+    its URL, its content hash, or, if it was kept, a SimHash within distance 3.
+    """
+    asked = pages.join(wanted.select("url").distinct(), "url", "left_semi")
+    good = runtime.materialize(quality_gate(normalize_pages(asked)))
+    has_text = F.col("text") != ""
+    keys = good.select(
+        "url",
+        url_key(F.col("url")).alias("u"),
+        F.when(has_text, content_hash(F.col("text"))).alias("h"),
+        F.when(has_text, simhash_column(F.col("text"))).alias("s"),
+    )
+    items = wanted.join(keys, "url").groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "url", "u", "h", "s"))).alias("items")
+    )
+    start = F.struct(F.array(), F.array(), F.array(), F.array()).cast(_SEEN)
+
+    def step(seen, x):
+        fresh = ~F.array_contains(seen.urls, F.coalesce(x.u, F.lit("")))
+        unlike = fresh & ~F.coalesce(F.array_contains(seen.hashes, x.h), F.lit(False))
+        alone = unlike & ~F.coalesce(F.exists(seen.prints, lambda p: hamming(p, x.s) <= MAX_DISTANCE), F.lit(False))
+
+        def grown(values, value, when):
+            return F.when(when & value.isNotNull(), F.concat(values, F.array(value))).otherwise(values)
+
+        return F.struct(
+            grown(seen.urls, F.nullif(x.u, F.lit("")), fresh).alias("urls"),
+            grown(seen.hashes, x.h, unlike).alias("hashes"),
+            grown(seen.prints, x.s, alone).alias("prints"),
+            grown(seen.kept, x.url, alone).alias("kept"),
+        )
+
+    kept = items.select("run_id", F.explode(F.aggregate("items", start, step)["kept"]).alias("url"))
+    return kept.join(good, "url").select("run_id", "url", F.col("url").alias("final_url"), "title", "text", "language")
+
+
 def organize_fallback_card(pages: DataFrame, markdown: str = "markdown") -> DataFrame:
     """Knowledge card without a model: the first 500 characters as summary, empty lists."""
     empty = F.array().cast("array<string>")

@@ -41,11 +41,13 @@ CLEAN_SQL = f"""
       round(0.6::DOUBLE * least(length(text) / 1500.0::DOUBLE, 1.0::DOUBLE)
         + 0.4::DOUBLE * least((length(text) / html_length::DOUBLE) / 0.15::DOUBLE, 1.0::DOUBLE), 3) AS quality_score
     FROM clean)"""
-CURATED_SQL = f"""{CLEAN_SQL},
+GOOD_SQL = f"""{CLEAN_SQL},
   good AS (SELECT * FROM normal WHERE NOT is_soft_404 AND quality_score >= 0.3 AND content_length >= 200),
   keyed AS (SELECT *, {CANONICAL_SQL} AS canonical FROM (SELECT *, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
       list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'),
-                  lambda p: regexp_matches(p, '=.')) AS params FROM good)),
+                  lambda p: regexp_matches(p, '=.')) AS params FROM good))"""
+
+CURATED_SQL = f"""{GOOD_SQL},
   by_url AS (SELECT * FROM keyed WHERE page_id IN (SELECT min(page_id) FROM keyed GROUP BY canonical)),
   by_hash AS (SELECT * FROM by_url WHERE page_id IN (SELECT min(page_id) FROM by_url GROUP BY sha256(text))),
   {sql_simhash('by_hash', 'page_id', 'text')},
@@ -247,10 +249,22 @@ def build_citation(spark, sf):
     return C.build_citation(pages).select("page_id", "citation_id", "ref_type", "source_domain", "score", "language")
 
 
-# Citations of the ranked results; the first three get the text of their page if it is curated.
-CITED_SQL = f"""{CURATED_SQL}, {RANKED_SQL},
-  fetched AS (SELECT r.run_id, c.url, c.title, c.text FROM ranked r JOIN curated c USING (url)
-              WHERE r.rank <= 3 AND c.reason = ''),
+# Citations of the ranked results; the first three get the text of their page unless the run had it already.
+_NEAR = "b.run_id = a.run_id AND bit_count(xor(b.s, a.s)) <= 3"
+CITED_SQL = f"""{GOOD_SQL},
+  {sql_simhash('good', 'page_id', 'text')}, {RANKED_SQL},
+  seq AS (SELECT r.run_id, k.url, k.title, k.text, k.canonical, sha256(k.text) AS h, p.simhash AS s,
+      row_number() OVER (PARTITION BY r.run_id ORDER BY r.rank) AS n
+    FROM ranked r JOIN keyed k USING (url) LEFT JOIN prints p USING (page_id) WHERE r.rank <= 3),
+  s1 AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM seq b WHERE b.run_id = a.run_id AND b.n < a.n
+      AND b.canonical = a.canonical) AS u FROM seq a),
+  s2 AS (SELECT a.* FROM s1 a WHERE u AND NOT EXISTS (SELECT 1 FROM s1 b WHERE b.run_id = a.run_id AND b.n < a.n
+      AND b.u AND b.h = a.h)),
+  t1 AS (SELECT * FROM s2 WHERE n = 1),
+  t2 AS (SELECT * FROM s2 a WHERE n = 2 AND NOT EXISTS (SELECT 1 FROM t1 b WHERE {_NEAR})),
+  t3 AS (SELECT * FROM s2 a WHERE n = 3 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) b
+      WHERE {_NEAR})),
+  fetched AS (SELECT run_id, url, title, text FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)),
   cited AS (SELECT r.run_id, r.rank, r.url, 'cit_' || substr(sha256(r.url), 1, 12) AS citation_id,
       CASE WHEN f.url IS NULL THEN r.title ELSE f.title END AS title,
       CASE WHEN f.url IS NULL THEN r.snippet ELSE substring(f.text, 1, 2000) END AS snippet,
@@ -261,11 +275,8 @@ CITED_SQL = f"""{CURATED_SQL}, {RANKED_SQL},
 
 
 def fetched(spark, sf):
-    curated = P.curate_pages(M.table(spark, sf, "pages")).filter("reason = ''")
-    wanted = ranked(spark, sf).filter("fetch").select("run_id", "url")
-    return wanted.join(curated, "url").select(
-        "run_id", "url", F.col("url").alias("final_url"), "title", "text", "language"
-    )
+    wanted = ranked(spark, sf).filter("fetch").select("run_id", "rank", "url")
+    return P.fetched_pages(wanted, M.table(spark, sf, "pages"))
 
 
 def cited(spark, sf):

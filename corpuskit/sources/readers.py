@@ -52,6 +52,13 @@ def scan_text_dir(spark: SparkSession, path: str, recursive: bool = True, domain
     return files.filter(F.lower("source").rlike(rf"\.({'|'.join(TEXT_SUFFIXES)})$") | named)
 
 
+def section_path(title: Column, heading: Column) -> Column:
+    """Title and heading of a section, as far as they are filled."""
+    title, heading = F.coalesce(title, F.lit("")), F.coalesce(heading, F.lit(""))
+    both = F.concat(title, F.lit(" > "), heading)
+    return F.when((title != "") & (heading != ""), both).otherwise(F.concat(title, heading))
+
+
 def scan_json_docs(
     spark: SparkSession,
     path: str,
@@ -71,8 +78,6 @@ def scan_json_docs(
         .select("*", decoded(F.col("_metadata.file_path")).alias("source"))
     )
     docs = docs.withColumn("doc_key", F.xxhash64("title", "domain", "doc_type", "sections"))
-    title, heading = F.coalesce("title", F.lit("")), F.coalesce("s.heading", F.lit(""))
-    both = F.concat(title, F.lit(" > "), heading)
     return (
         docs.select("*", F.posexplode("sections").alias("section_index", "s"))
         .filter(F.coalesce("s.content", F.lit("")) != "")
@@ -82,7 +87,7 @@ def scan_json_docs(
             "doc_id",
             "doc_key",
             "section_index",
-            F.when((title != "") & (heading != ""), both).otherwise(F.concat(title, heading)).alias("title_path"),
+            section_path(F.col("title"), F.col("s.heading")).alias("title_path"),
             F.col("s.content").alias("content"),
             F.coalesce("s.tags", F.array().cast("array<string>")).alias("tags"),
             F.coalesce("domain", F.lit(default_domain)).alias("domain"),

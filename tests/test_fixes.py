@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions.registry import register_all
-from corpuskit.operators import documents, retrieval, structure
+from corpuskit.operators import documents, pages, retrieval, structure
 from corpuskit.operators.html import extract_page
 from corpuskit.sources import readers, sinks
 from corpuskit.streaming import jobs as J
@@ -215,3 +215,26 @@ def test_first_arrivals_by_order(spark, tmp_path):
     out = str(tmp_path / "out")
     J.stream_first_arrivals(stream, out, str(tmp_path / "state"), "id", ["id"]).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == kept
+
+
+def test_json_uploads(spark):
+    text = '{"title": "Guide", "domain": "support", "sections": [{"heading": "Hours", "content": "nine to five"}, {"content": "more"}]}'
+    rows = [(1, "t", text, ".json"), (2, "u", "{broken", ".json"), (3, "v", None, ".json")]
+    docs = spark.createDataFrame(rows, "document_id long, title string, text string, extension string")
+    listed, chunks = documents.ingest_user_documents(docs)
+    found = sorted((c.document_id, c.chunk_index, c.chunk_title, c.content) for c in chunks.collect())
+    assert found == [(1, 0, "Guide > Hours", "nine to five"), (1, 1, "Guide", "more"), (2, 0, "u", "{broken")]
+    assert {r.document_id: r.status for r in listed.collect()} == {1: "ready", 2: "ready", 3: "failed"}
+    given = spark.createDataFrame([("g", text, ".json", "d", "rule", "/g.json")], "doc_id string, text string, extension string, domain string, doc_type string, source string")
+    assert {(c.domain, c.doc_type) for c in documents.ingest_corpus(given).collect()} == {("support", "rule")}
+
+
+def test_a_page_of_two_runs(spark):
+    body = "".join(f"<p>{w} words of a page that is long enough to pass.</p>" * 30 for w in "ab")
+    html = f"<html><title>t</title><body><article>{body}</article></body></html>"
+    other = html.replace("words", "lines").replace("page", "leaf").replace("long", "wide").replace("enough", "as can be")
+    page_rows = [("http://h/1", html), ("http://h/2", html), ("http://h/1/", other), ("http://h/3", "<p>short</p>"), ("http://h/4", other)]
+    page_table = spark.createDataFrame(page_rows, "url string, html string")
+    wanted = [(1, 1, "http://h/1"), (1, 2, "http://h/2"), (1, 3, "http://h/1/"), (2, 1, "http://h/2"), (2, 2, "http://h/3"), (2, 3, "http://h/4")]
+    kept = pages.fetched_pages(spark.createDataFrame(wanted, "run_id long, rank long, url string"), page_table)
+    assert {(r.run_id, r.url) for r in kept.collect()} == {(1, "http://h/1"), (2, "http://h/2"), (2, "http://h/4")}
