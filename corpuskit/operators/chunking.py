@@ -138,6 +138,21 @@ def chunks_column(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     return chunks(text)
 
 
+def protected_column(text: Column) -> Column:
+    """Protected ranges of a text in code points: (kind, start, end), fences first; null and empty texts have none."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf("array<struct<kind: string, start: bigint, end: bigint>>")
+    def found(column: pa.Array) -> pa.Array:
+        rows = []
+        for text in column.to_pylist():
+            named = zip(("fence", "table"), protected_ranges(text or ""), strict=True)
+            rows.append([{"kind": k, "start": a, "end": b} for k, ranges in named for a, b in ranges])
+        return pa.array(rows, kind)
+
+    return found(text)
+
+
 def keywords_column(text: Column, n: int = MAX_KEYWORDS) -> Column:
     @F.arrow_udf("array<string>")
     def keywords(column: pa.Array) -> pa.Array:
