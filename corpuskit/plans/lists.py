@@ -26,7 +26,7 @@ def listed_docs(spark, sf):
 
 
 COUNTED_SQL = """
-  , counts AS (SELECT document_id, count(*) AS n FROM chunks WHERE chunk_index > 0 GROUP BY 1)
+  , counts AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1)
 """
 
 
@@ -35,12 +35,14 @@ COUNTED_SQL = """
     M.with_sql(
         LISTED,
         COUNTED_SQL
-        + "SELECT document_id, coalesce(n, 0)::BIGINT AS chunk_count FROM docs LEFT JOIN counts USING (document_id)",
+        + """SELECT document_id, coalesce(n, 0)::BIGINT AS chunk_count FROM (SELECT document_id FROM docs
+            UNION ALL SELECT -1 - document_id FROM docs) LEFT JOIN counts USING (document_id)""",
     ),
 )
 def with_chunk_count(spark, sf):
-    later = M.chunks(spark, sf).filter("chunk_index > 0")
-    return C.with_chunk_count(M.raw_docs(spark, sf), later).select("document_id", "chunk_count")
+    docs = M.raw_docs(spark, sf)
+    without = docs.withColumn("document_id", -1 - F.col("document_id"))
+    return C.with_chunk_count(docs.unionByName(without), M.chunks(spark, sf)).select("document_id", "chunk_count")
 
 
 @query(

@@ -170,7 +170,7 @@ def find_section(spark, sf):
 
 # Paths without repeated nodes are not needed: scores only fall, so the best score per node is a fixpoint.
 NEIGHBORS_SQL = f"""
-  starts AS (SELECT document_id, section_id AS start FROM nodes WHERE level = 1),
+  starts AS (SELECT document_id, section_id AS start FROM nodes),
   walk(document_id, start, node, score, type, hops) AS (
     SELECT DISTINCT s.document_id, start, dst, weight, type, 1 FROM starts s JOIN links l ON l.document_id = s.document_id
       AND l.src = s.start WHERE dst <> start
@@ -194,11 +194,11 @@ NEIGHBORS_SQL = f"""
 )
 def concept_neighbors(spark, sf):
     tree = nodes(spark, sf)
-    starts = tree.filter("level = 1").select("document_id", F.col("section_id").alias("start"))
+    starts = tree.select("document_id", F.col("section_id").alias("start"))
     return S.concept_neighbors(tree, S.section_graph(tree, glossary(spark, sf)), starts, 8)
 
 
-SUBGRAPH_SQL = """starts AS (SELECT document_id, section_id AS start FROM nodes WHERE level = 2),
+SUBGRAPH_SQL = """starts AS (SELECT document_id, section_id AS start FROM nodes),
   keep AS (SELECT document_id, start, start AS node FROM starts UNION
            SELECT s.document_id, start, dst FROM starts s JOIN links l ON l.document_id = s.document_id AND l.src = s.start)"""
 
@@ -210,7 +210,7 @@ SUBGRAPH_SQL = """starts AS (SELECT document_id, section_id AS start FROM nodes
 )
 def subgraph_nodes(spark, sf):
     tree = nodes(spark, sf)
-    starts = tree.filter("level = 2").select("document_id", F.col("section_id").alias("start"))
+    starts = tree.select("document_id", F.col("section_id").alias("start"))
     found = S.subgraph_1hop(tree, S.section_graph(tree, glossary(spark, sf)), starts)[0]
     return found.withColumn("level", F.col("level").cast("long"))
 
@@ -223,7 +223,7 @@ def subgraph_nodes(spark, sf):
 )
 def subgraph_edges(spark, sf):
     tree = nodes(spark, sf)
-    starts = tree.filter("level = 2").select("document_id", F.col("section_id").alias("start"))
+    starts = tree.select("document_id", F.col("section_id").alias("start"))
     return S.subgraph_1hop(tree, S.section_graph(tree, glossary(spark, sf)), starts)[1]
 
 
