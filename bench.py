@@ -43,7 +43,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = plans.queries()
     chosen = sys.argv[1:] or HEADLINE
-    queries["url_host"](spark, sf).write.format("noop").mode("overwrite").save()
+    for warm in ("url_host", "hash_embedding"):  # compiled code, and the Python workers
+        queries[warm](spark, sf).write.format("noop").mode("overwrite").save()
     times = {}
     for name in chosen:
         start = time.perf_counter()

@@ -94,18 +94,21 @@ def keyword_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scope: s
     ).drop("kw", "vec")
 
 
-def hybrid_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scope: str = "user_id", **limits) -> DataFrame:
+def hybrid_topk(
+    queries: DataFrame, candidates: DataFrame, k: int = 5, scope: str = "user_id", vector: str = "text", **limits
+) -> DataFrame:
     """Top k by 0.7 x cosine + 0.3 x keyword score relative to the query's best keyword score.
 
     The cosine is rounded to 6 digits before ranking; ties go to the newest document, then the
-    smallest chunk id. A blank query gets the preview of its scope.
+    smallest chunk id. A blank query gets the preview of its scope. ``vector="stored"`` compares the
+    ``embedding`` columns of both sides, computed once per chunk, instead of embedding every text again.
     """
     queries = stripped(queries)
     keyword = F.when(F.col("max_kw") > 0, F.col("kw") / F.col("max_kw")).otherwise(0.0)
     hits = score_topk(
         queries.filter("query_text <> ''"),
         _with_hit_columns(candidates),
-        Scoring(k=k, keyword="overlap", vector="text"),
+        Scoring(k=k, keyword="overlap", vector=vector),
         final_score=VECTOR_WEIGHT * F.col("vec") + KEYWORD_WEIGHT * keyword,
         payload=HIT,
         scope=scope,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.functions.registry import register_all
-from corpuskit.operators import documents, pages, retrieval, structure
+from corpuskit.operators import documents, embedding, pages, retrieval, structure
 from corpuskit.operators.html import extract_page
 from corpuskit.sources import readers, sinks
 from corpuskit.streaming import jobs as J
@@ -238,3 +238,18 @@ def test_a_page_of_two_runs(spark):
     wanted = [(1, 1, "http://h/1"), (1, 2, "http://h/2"), (1, 3, "http://h/1/"), (2, 1, "http://h/2"), (2, 2, "http://h/3"), (2, 3, "http://h/4")]
     kept = pages.fetched_pages(spark.createDataFrame(wanted, "run_id long, rank long, url string"), page_table)
     assert {(r.run_id, r.url) for r in kept.collect()} == {(1, "http://h/1"), (2, "http://h/2"), (2, "http://h/4")}
+
+
+def test_stored_vectors_give_the_hits_of_texts(spark):
+    rng = random.Random(4)
+    words = "support email opening hours returns refund contact order late parcel".split()
+    rows = [(i, 1, " ".join(rng.choice(words) for _ in range(8)), float(i)) for i in range(60)]
+    queries = asked(spark, [(q, 1, " ".join(rng.choice(words) for _ in range(2))) for q in range(8)])
+    found = candidates(spark, rows)
+    text = retrieval.hybrid_topk(queries, found, 4).collect()
+    stored = retrieval.hybrid_topk(
+        embedding.hash_embedding(queries, "query_text"), embedding.hash_embedding(found, "search_text"), 4, vector="stored"
+    ).collect()
+    by_place = [{(r.query_id, r.rank): r.score for r in x} for x in (text, stored)]
+    assert by_place[0].keys() == by_place[1].keys()
+    assert all(abs(by_place[0][k] - by_place[1][k]) < 1e-5 for k in by_place[0])
