@@ -129,7 +129,10 @@ def markdown_files(df: DataFrame) -> DataFrame:
 
 
 def export_markdown(df: DataFrame, out: str) -> DataFrame:
-    """Write every row as its own Markdown folder ``out/user_id=.../file_name=.../`` and return the list."""
+    """Write every row as its own Markdown folder ``out/user_id=.../file_name=.../`` and return the list.
+
+    A folder per row suits exports of up to some 10^5 files; for more, write ``markdown_files`` as a table.
+    """
     files = markdown_files(df)
     by_file = files.select("user_id", "file_name", F.col("body").alias("value"))
     by_file.write.mode("overwrite").partitionBy("user_id", "file_name").text(out)
