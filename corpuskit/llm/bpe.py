@@ -29,7 +29,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        letters = _byte_letters()
+        letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         bytes_of = {w: bytes(back[c] for c in w) for w in model["vocab"]}
         self.byte_ids = [model["vocab"][letters[b]] for b in range(256)]
@@ -84,27 +84,35 @@ class Codec:
             out += self.merge([self.byte_ids[b] for b in piece.encode()])
         return b"".join(i.to_bytes(4, "little") for i in out)
 
-    def _plain(self, text: str) -> bytes:
-        parts = LONE_BLANK.split(text) if OTHER_BLANK.search(text) else text.split(" ")
-        head = self.firsts.many(parts[:1])
-        return b"".join(head + self.words.many(parts[1:]))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
+    def _parts(self, text: str) -> list[bytes | list[str]]:
+        """A text as ids of special tokens and lists of words; the first word of a list has no blank before it."""
+        out: list[bytes | list[str]] = []
         for part in self.split.split(text) if self.special else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out.append(self._plain(part))
-        return b"".join(out)
+                out.append(LONE_BLANK.split(part) if OTHER_BLANK.search(part) else part.split(" "))
+        return out
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for own in common.bundles(texts):
+            parts = [self._parts(t) for t in own]
+            lists = [x for p in parts for x in p if isinstance(x, list)]
+            heads = self.firsts.table([x[:1] for x in lists])
+            words = self.words.table([x[1:] for x in lists]).__getitem__
+            for p in parts:
+                yield b"".join(x if isinstance(x, bytes) else heads[x[0]] + b"".join(map(words, x[1:])) for x in p)
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_many([text]))
 
     def decode(self, ids: bytes) -> str:
         """Vocabulary strings joined; bytes that are no UTF-8 become the replacement character."""
         return b"".join(map(self.vocabulary.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in the vocabulary: itself where printable, else from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -124,7 +132,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids = [memoryview(own.encode(t)).cast("I").tolist() for t in batch.column(1).to_pylist()]
+            ids = [memoryview(x).cast("I").tolist() for x in own.encode_many(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -147,7 +155,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode and decode every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Hashes are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8. A null text is
-    empty. Texts are taken one by one, so memory is bounded by the longest text and the word cache.
+    empty. Texts are taken in bundles of bounded size, so memory is bounded by them, the longest text and the word cache.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -155,8 +163,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         own = codec(path)
         for batch in batches:
             sizes, ids_hash, text_hash = [], [], []
-            for value in batch.column(1):
-                ids = own.encode(value.as_py())
+            for ids in own.encode_many(batch.column(1).to_pylist()):
                 sizes.append(len(ids) // 4)
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
                 text_hash.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

@@ -19,9 +19,9 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 # Bytes of text that one vectorised step handles: bounds the memory of a task.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 # Distinct words whose results a worker keeps, in each of two generations.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 U64 = np.uint64
 
 
@@ -188,18 +188,35 @@ class WordCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def many(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, words))
-        if None not in found:
-            return found
-        missing = [w for w in dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None)]
-        known = {w: self.old[w] for w in missing if w in self.old}
-        new = [w for w in missing if w not in known]
-        known.update(zip(new, self.make(new), strict=True))
-        if len(self.young) + len(known) > self.size:
-            self.old, self.young = self.young, {}
-        self.young.update(known)
-        return [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+    def table(self, lists: list[list[str]]) -> dict[str, bytes]:
+        """Results of the distinct words of a bundle of texts. Each is looked up here once, however often it occurs."""
+        young, old = self.young, self.old
+        words = set().union(*lists)
+        found = dict(zip(words, map(young.get, words), strict=True))
+        missing = [w for w, x in found.items() if x is None]
+        if missing:
+            known = {w: old[w] for w in missing if w in old}
+            new = [w for w in missing if w not in known]
+            known.update(zip(new, self.make(new), strict=True))
+            if len(young) + len(known) > self.size:
+                self.old, self.young = young, {}
+            self.young.update(known)
+            found.update(known)
+        return found
+
+
+def bundles(texts: list[str], size: int = STEP_BYTES) -> Iterator[list[str]]:
+    """Consecutive texts of about ``size`` characters together; a longer one alone."""
+    own: list[str] = []
+    count = 0
+    for t in texts:
+        if own and count + len(t) > size:
+            yield own
+            own, count = [], 0
+        own.append(t)
+        count += len(t)
+    if own:
+        yield own
 
 
 # ---- connected components ---------------------------------------------------------------------------------------
@@ -209,19 +226,14 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """``node``, ``component`` (smallest node reachable) for the nodes of ``edges`` (a, b), long.
 
     Alternating large and small stars: every round is two grouped minima and two joins, the edges are written to the
-    shared folder, and rounds grow with the logarithm of the largest component. Nothing but a count and a checksum
-    comes to the driver.
+    shared folder, and rounds grow with the logarithm of the largest component. Nothing but the answer whether a round
+    is the last comes to the driver.
     """
     now = steps.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        sign = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if sign == seen or sign["n"] == 0:
-            break
-        seen = sign
+    while not _are_stars(now):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(_edge("a", "m"), _edge("b", "m"))).alias("e")).select("e.*")
         new = steps.write(small.filter("a <> b").distinct())
@@ -231,6 +243,12 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     return found.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """True when every node has one smaller neighbour, which has none itself: then that one is the component."""
+    heads = edges.select(F.col("b").alias("a")).distinct()
+    return edges.select("a").union(heads).groupBy("a").count().filter("count > 1").isEmpty()
+
+
 def _edge(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuskit.llm import common
+from corpuskit.llm.bpe import byte_letters
 
 MAGIC = b"TOKSHRD1"
 # Documents of a shard, on average.
@@ -24,6 +27,13 @@ SHARD_ROWS = 20_000
 GAMMA, LEVELS = 2, 64
 # Bytes read at once from a payload.
 READ_BYTES = 8_000_000
+# Marks that may end a word; texts that tell how a
+# vocabulary splits.
+MARKS = ".,!?;:"
+PROBES = ("ab", "AB", " ab\n\tab \x0b\x0cab\r", *(f"ab{m}" for m in MARKS), *MARKS, "thereof", *map(chr, range(0xDF, 0x100)))
+# Words of small letters up to U+00FF, and the letters that byte-level vocabularies write the bytes of the last ones with.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+BYTE_LETTERS = {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 _tokenizers: dict = {}
 
@@ -165,7 +175,11 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library, called once per distinct word between white space: no piece crosses white space."""
+    """The tokenizers library, called once per distinct word where its pieces never cross white space.
+
+    Whether they do, whether case is folded and whether a mark after a letter is a piece of its own is asked of the
+    library; a vocabulary of another kind gets whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -175,15 +189,69 @@ class Encoder:
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.words = common.WordCache(self._new)
-
-    def _new(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
+        self.words = common.WordCache(self._words)
+        one = dict(zip(PROBES, self._library(list(PROBES)), strict=True))
+        self.by_word = one[" ab\n\tab \x0b\x0cab\r"] == one["ab"] * 3
+        self.folds = one["AB"] == one["ab"]
+        self.marks = {m: one[m] for m in MARKS if one[f"ab{m}"] == one["ab"] + one[m]}
+        self.code = "H" if self.width == 2 else "I"
+        self.direct = self.by_word and all(self._model(w) == one[w] for w in PROBES if PLAIN.fullmatch(w))
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _model(self, word: str) -> bytes:
+        """Ids of a word of plain letters, straight from the library's model: no other step of it changes the word."""
+        letters = word if word.isascii() else word.translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of new words. A final mark after a plain letter is encoded by itself."""
+        young, old = self.words.young, self.words.old
+        found: dict[str, bytes] = {}
+        slow: list[tuple[str, str, bytes]] = []
+        for w in words:
+            stem, mark = w, self.marks.get(w[-1:], b"")
+            if mark and "a" <= w[-2:-1] <= "z":
+                stem = w[:-1]
+                ids = young.get(stem) or old.get(stem)
+            else:
+                ids, mark = None, b""
+            if ids is None:
+                if not (self.direct and PLAIN.fullmatch(stem)):
+                    slow.append((w, stem, mark))
+                    continue
+                ids = self._model(stem)
+                if mark:
+                    young[stem] = ids
+            found[w] = ids + mark
+        stems = [*dict.fromkeys(stem for _, stem, _ in slow)]
+        made = dict(zip(stems, self._library(stems), strict=True))
+        found.update((w, made[stem] + mark) for w, stem, mark in slow)
+        return [found[w] for w in words]
+
+    def _split(self, text: str) -> list[str]:
+        if self.folds:
+            lower = text.encode().lower().decode()  # A-Z only
+            if lower != text and not any(s in lower for s in self.special):
+                text = lower
         for c in "\t\n\x0b\x0c\r":
             text = text.replace(c, " ")
-        return b"".join(self.words.many(text.split(" ")))
+        return text.split(" ")
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        for own in common.bundles(texts):
+            if not self.by_word:
+                yield from self._library(own)
+                continue
+            lists = [self._split(t) for t in own]
+            words = self.words.table(lists).__getitem__
+            for x in lists:
+                yield b"".join(map(words, x))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_many([text]))
 
 
 def encoder(path: str) -> Encoder:
@@ -218,8 +286,8 @@ def write_token_files(
         def payload() -> Iterator[bytes]:
             for batch in batches:
                 keys.extend(batch.column(0).to_pylist())
-                for value in batch.column(1):
-                    ids = own.encode(value.as_py()) + end
+                for ids in own.encode_many(batch.column(1).to_pylist()):
+                    ids += end
                     lengths.append(len(ids) // own.width)
                     yield ids
 
