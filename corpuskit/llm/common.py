@@ -21,7 +21,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # Bytes of text that one vectorised step handles: bounds the memory of a task.
 STEP_BYTES = 500_000
 # Distinct words whose results a worker keeps, in each of two generations.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 U64 = np.uint64
 
 
