@@ -21,14 +21,14 @@ from corpuskit.llm import common
 
 WORDS, PERCENT = 5, 75
 # Published lanes of one reducing task, and parts of the lanes per task.
-LANES_EACH, PARTS_EACH = 2_000_000, 8
+LANES_EACH, PARTS_EACH = 1_000_000, 8
 # Documents and lanes that a reading task gathers before it sends them on.
-FLUSH_LANES = 2_000_000
+FLUSH_LANES = 700_000
 # Members of a lane within one such bundle beyond which only the smallest goes to the lane's common task.
 LOCAL_GROUP = 64
 # Members of a block where the sets of a lane are compared block by block.
 BLOCK = 128
-LOW40 = np.uint64((1 << 40) - 1)
+LOW39, MARK = np.uint64((1 << 39) - 1), np.uint64(1 << 39)
 
 
 # ---- sets and sketches ------------------------------------------------------------------------------------------
@@ -127,7 +127,8 @@ def jaccard_components(
     Rows without an id are left out, of rows that repeat an id the one with the smallest text counts.
 
     1. Every text is read for its set's size, signature and bit sketch. Equal sets are one class.
-    2. Lanes are published and met in tasks by their hash. A lane's members are paired with its smallest member only.
+    2. Lanes are published and met in tasks by their hash. A lane of two gives a pair; of a larger lane the members are
+       paired with the one that shares most lanes (of copies with changes, that is the text they were made from).
     3. Pairs that pass sizes and bit sketches are verified; components follow from the links.
     4. Lanes whose members are still in several components are compared in blocks, across components: this finds the
        links that a star leaves out, so the result is that of all pairs.
@@ -154,18 +155,22 @@ def jaccard_components(
         joined = df.join(to_rep, df[column] == to_rep["_id"], "left")
         return joined.withColumn(column, F.coalesce("rep", column)).drop("_id", "rep")
 
-    pairs = as_rep(as_rep(met.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b")
+    members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    members = steps.write(as_rep(members, "id").distinct())
+    pairs = as_rep(as_rep(met.filter("kind = 0").select("a", "b").distinct(), "a"), "b")
+    pairs = pairs.union(_with_centre(members)).filter("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = steps.write(_possible(pairs, info, percent))
     links = steps.write(_verify(tested, docs, words, percent, steps))
     found = steps.write(common.components(links, steps))
 
-    members = steps.write(as_rep(met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")), "id").distinct())
-    more = _across(members, found, info, percent)
+    # stored before the anti-join, which would otherwise be done for every lane that a pair has in common
+    more = steps.write(_across(members, found, info, percent))
     more = steps.write(more.join(tested, ["a", "b"], "left_anti"))
     new = steps.write(_verify(more, docs, words, percent, steps))
     if not new.isEmpty():
-        found = steps.write(common.components(links.union(new), steps))
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = steps.write(common.components(stars.union(new), steps))
     of_class = classes.join(found, classes["rep"] == found["node"], "left").select(
         *same, "members", F.coalesce("component", "rep").alias("component_id")
     )
@@ -197,6 +202,8 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 def _meet(docs: DataFrame, words: int, percent: int, bands: list[int], tasks: int) -> DataFrame:
     """Candidates by common lanes. kind 0: pair (a < b); kind 1: lane a has member b (lanes of three and more).
 
+    Lanes with the same members are one.
+
     Lanes travel packed: a row holds the lanes of one part from one bundle of documents, as 40-bit hashes, and their
     documents. Texts whose set a task has seen before publish nothing: their class is known from the signature. Lanes
     with many members in one bundle send on the smallest alone, the others skip the common task (``local``).
@@ -235,12 +242,12 @@ def _meet(docs: DataFrame, words: int, percent: int, bands: list[int], tasks: in
                 k = wide.view("<u8").reshape(-1) | (np.uint64(row["part"]) << np.uint64(40))
                 i = np.frombuffer(row["ids"], "<i8" if row["wide"] else "<u4").astype(np.int64) + row["base"]
                 if row["local"]:
-                    yield from _stars(k, i)
+                    yield from _members(k, i)
                 else:
                     keys.append(k)
                     ids.append(i)
         if keys:
-            yield from _stars(np.concatenate(keys), np.concatenate(ids))
+            yield from _lanes(np.concatenate(keys), np.concatenate(ids))
 
     sent = docs.mapInArrow(publish, "part int, local boolean, base long, wide boolean, keys binary, ids binary")
     return sent.repartition(tasks, "part").mapInArrow(meet, "kind int, a long, b long")
@@ -251,7 +258,7 @@ def _bundle(keys: list[np.ndarray], ids: list[int], parts: int) -> Iterator[pa.R
     own = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
     key = np.concatenate(keys)
     part = ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-    key = key & LOW40
+    key = key & LOW39
     order = np.lexsort((own, key, part))
     part, key, own = part[order], key[order], own[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
@@ -261,6 +268,8 @@ def _bundle(keys: list[np.ndarray], ids: list[int], parts: int) -> Iterator[pa.R
     sent[first] = True
     for mask, flag in ((sent, False), (local, True)):
         p, k, i = part[mask], key[mask], own[mask]
+        if not flag:
+            k = np.where(local[mask], k | MARK, k)
         if not len(p):
             continue
         cuts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
@@ -283,21 +292,48 @@ def _bundle(keys: list[np.ndarray], ids: list[int], parts: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_pylist(rows[a : a + 256], schema)
 
 
-def _stars(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of each lane's smallest member with the others, and the members of lanes of three and more."""
+def _lanes(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs from lanes of two, and the members of larger lanes.
+
+    A lane is named by its members, unless some of them (MARK) have gone another way and know it by its key.
+    """
+    marked, key = (key & MARK) > 0, key & ~MARK
     order = np.lexsort((own, key))
-    key, own = key[order], own[order]
+    key, own, marked = key[order], own[order], marked[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    low = np.repeat(own[first], size)
-    other = own != low
-    pairs = np.unique(np.stack([low[other], own[other]]), axis=1) if other.any() else np.empty((2, 0), np.int64)
-    big = np.repeat(size > 2, size)
-    for kind, a, b in ((0, pairs[0], pairs[1]), (1, key[big].view(np.int64), own[big])):
-        for k in range(0, len(a), 100_000):
-            part = slice(k, k + 100_000)
-            kinds = np.full(len(a[part]), kind, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(a[part]), pa.array(b[part])], ["kind", "a", "b"])
+    some = np.maximum.reduceat(marked, first)
+    two = first[(size == 2) & ~some]
+    pairs = np.unique(np.stack([own[two], own[two + 1]]), axis=1) if len(two) else np.empty((2, 0), np.int64)
+    yield from _rows(0, pairs[0], pairs[1])
+    large = np.repeat(some, size)
+    yield from _members(key[large], own[large])
+    name = np.add.reduceat(common.mix(own.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first)
+    wanted = np.flatnonzero((size > 2) & ~some)
+    _, once = np.unique(name[wanted], return_index=True)
+    keep = np.zeros(len(first), bool)
+    keep[wanted[once]] = True
+    large = np.repeat(keep, size)
+    yield from _members(np.repeat(common.mix(name) | (np.uint64(1) << np.uint64(63)), size)[large], own[large])
+
+
+def _members(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield from _rows(1, key.view(np.int64), own)
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(a), 100_000):
+        part = slice(k, k + 100_000)
+        kinds = np.full(len(a[part]), kind, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(a[part]), pa.array(b[part])], ["kind", "a", "b"])
+
+
+def _with_centre(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each lane's members with the one that is in most lanes, the smallest id of equals."""
+    lanes = members.groupBy("id").agg(F.count("*").alias("lanes"))
+    place = F.struct(F.col("lanes").alias("n"), (-F.col("id")).alias("i"))
+    centre = members.join(lanes, "id").groupBy("key").agg(F.max(place).alias("c")).select("key", (-F.col("c.i")).alias("a"))
+    return members.join(centre, "key").select("a", F.col("id").alias("b"))
 
 
 def _possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
