@@ -28,6 +28,8 @@ FLUSH_LANES = 700_000
 LOCAL_GROUP = 64
 # Members of a block where the sets of a lane are compared block by block.
 BLOCK = 128
+# Of so many lanes of three and more, one is asked for its centre.
+CENTRES = 8
 LOW39, MARK = np.uint64((1 << 39) - 1), np.uint64(1 << 39)
 
 
@@ -62,8 +64,8 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """Parity bits at least twice as many as members, a power of two: hash h flips bit h mod size."""
-    size = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    """Parity bits at least eight times as many as members, a power of two: hash h flips bit h mod size."""
+    size = max(64, 1 << int(8 * len(s) - 1).bit_length()) if len(s) else 64
     bits = (np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -145,7 +147,7 @@ def jaccard_components(
         return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     bands = size_bands(total["top"], percent)
     reps = steps.write(common.look_up(filled.select("doc_id", *same), classes, same, "members", total["rows"]).select("doc_id", "rep"))
-    info = filled.join(reps.filter("doc_id = rep"), "doc_id", "left_semi").select("doc_id", "n", "sketch")
+    info = filled.select("doc_id", "n", "sketch")
 
     tasks = common.partitions(spark, int(total["shingles"] * 0.6), LANES_EACH)
     met = steps.write(_meet(docs, words, percent, bands, tasks))
@@ -155,17 +157,20 @@ def jaccard_components(
         joined = df.join(to_rep, df[column] == to_rep["_id"], "left")
         return joined.withColumn(column, F.coalesce("rep", column)).drop("_id", "rep")
 
-    members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
-    members = steps.write(as_rep(members, "id").distinct())
-    pairs = as_rep(as_rep(met.filter("kind = 0").select("a", "b").distinct(), "a"), "b")
-    pairs = pairs.union(_with_centre(members)).filter("a <> b")
+    members = steps.write(met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct())
+    pairs = met.filter("kind = 0").select("a", "b").union(_with_centre(members)).distinct()
+    pairs = as_rep(as_rep(pairs, "a"), "b").filter("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = steps.write(_possible(pairs, info, percent))
     links = steps.write(_verify(tested, docs, words, percent, steps))
     found = steps.write(common.components(links, steps))
 
     # stored before the anti-join, which would otherwise be done for every lane that a pair has in common
-    more = steps.write(_across(members, found, info, percent))
+    copies = to_rep.join(found, F.col("rep") == F.col("node"), "left").select(
+        F.col("_id").alias("node"), F.coalesce("component", "rep").alias("component")
+    )
+    more = as_rep(as_rep(_across(members, found.union(copies), info, percent), "a"), "b").filter("a <> b")
+    more = steps.write(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = steps.write(more.join(tested, ["a", "b"], "left_anti"))
     new = steps.write(_verify(more, docs, words, percent, steps))
     if not new.isEmpty():
@@ -329,7 +334,12 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _with_centre(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each lane's members with the one that is in most lanes, the smallest id of equals."""
+    """Pairs (a, b) of a lane's members with the one that is in most lanes, the smallest id of equals.
+
+    One lane in CENTRES is asked: two copies share many lanes, and the comparison across components that follows sees
+    them all, so this decides how much is left for it, not what is found.
+    """
+    members = members.filter(F.pmod(F.xxhash64("key"), F.lit(CENTRES)) == 0)
     lanes = members.groupBy("id").agg(F.count("*").alias("lanes"))
     place = F.struct(F.col("lanes").alias("n"), (-F.col("id")).alias("i"))
     centre = members.join(lanes, "id").groupBy("key").agg(F.max(place).alias("c")).select("key", (-F.col("c.i")).alias("a"))
