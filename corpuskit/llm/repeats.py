@@ -31,6 +31,8 @@ FLUSH, SEGMENTS_EACH, PARTS_EACH = 1_000_000, 1_000_000, 8
 LOCAL_GROUP = 64
 # Segments of a gram beyond which it is split by longer grams, and bytes of a bucket whose transforms are merged.
 GROUP, BUCKET = 2_000, 150_000
+# Parts of a string's rows in which its earliest is sought first.
+SALTS = 64
 SHARDS = 2
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -210,7 +212,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = steps.write(_meet(docs, tasks))
     covered = met.filter("kind = 0").select("doc_id", "start", F.col("more").alias("end"))
     found = steps.write(_segment_bytes(docs, met.filter("kind = 1").drop("kind")))
-    covered = covered.union(steps.write(_buckets(_split_large(found, steps), tasks)))
+    rows, again = _split_large(found, steps)
+    covered = covered.union(steps.write(_buckets(rows, tasks)))
+    if again is not None:
+        covered = covered.union(again)
     spans = covered.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return _result(docs.join(spans, "doc_id", "left"), with_text)
 
@@ -381,27 +386,47 @@ def _segment_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(run, _SEGMENTS)
 
 
-def _split_large(found: DataFrame, steps: common.Steps) -> DataFrame:
-    """Segments with a bucket key that at most GROUP segments share, unless their strings are equal.
+def _split_large(found: DataFrame, steps: common.Steps) -> tuple[DataFrame, DataFrame | None]:
+    """Segments with a bucket key that at most GROUP segments share, and (doc_id, start, end) that are covered already.
 
     Strings whose anchor lies in one half of the possible places have a longer gram in common. A key that too many
     segments share is replaced by such longer grams, halving the places until the gram is the string itself; then equal
-    strings are reduced to the earliest.
+    strings are reduced to the earliest, and the others are covered.
     """
-    done, now, level = [], found.withColumn("key", F.col("gram")), 0
+    done, again, now, level = [], None, found.withColumn("key", F.col("gram")), 0
     while True:
         large = now.groupBy("key").count().filter(F.col("count") > GROUP).select("key")
-        if level > SPREAD.bit_length() or large.isEmpty():
+        if large.isEmpty():
             done.append(now)
             break
         large = steps.write(large)
+        if level == SPREAD.bit_length():  # a class is one place now; the keys are at most one in GROUP of the rows
+            done.append(now.join(F.broadcast(large), "key", "left_anti"))
+            firsts, again = _one_per_string(now.join(F.broadcast(large), "key", "left_semi"), steps)
+            done.append(firsts)
+            break
         done.append(now.join(large, "key", "left_anti"))
         level += 1
         now = steps.write(_longer(now.join(large, "key", "left_semi"), level))
     out = done[0].select("key", "doc_id", "start", "bytes")
     for df in done[1:]:
         out = out.union(df.select("key", "doc_id", "start", "bytes"))
-    return out
+    return out, again
+
+
+def _one_per_string(rows: DataFrame, steps: common.Steps) -> tuple[DataFrame, DataFrame]:
+    """The earliest row of each string, and (doc_id, start, end) of the others.
+
+    A string that a third of all rows hold arrives as at most SALTS rows, and its rows look the earliest up by broadcast.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    parts = rows.groupBy("key", "bytes", salt.alias("_salt")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    strings = steps.write(parts.groupBy("key", "bytes").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
+    total = strings.agg(F.sum("n")).first()[0] or 0
+    found = common.look_up(rows.select("key", "bytes", "doc_id", "start"), strings, ["key", "bytes"], "n", total)
+    others = found.filter(F.struct("doc_id", "start") != F.col("first"))
+    again = steps.write(others.select("doc_id", "start", (F.col("start") + LENGTH).alias("end")))
+    return strings.select("key", "first.doc_id", "first.start", "bytes"), again
 
 
 def _longer(rows: DataFrame, level: int) -> DataFrame:

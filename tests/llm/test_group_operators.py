@@ -200,6 +200,26 @@ def test_repeats(documents, small, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows)
 
 
+def test_hot_string_is_one_row_of_its_bucket(documents, monkeypatch):
+    """A passage with other text around it in every document: no bucket key is held by more rows than GROUP."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(180)
+    rows = [(i, text(120) + passage + text(120)) for i in range(60)]
+    sizes, buckets = [], repeats._buckets
+
+    def measured(found, tasks):
+        sizes.append(max(r["count"] for r in found.groupBy("key").count().collect()))
+        return buckets(found, tasks)
+
+    monkeypatch.setattr(repeats, "_buckets", measured)
+    monkeypatch.setattr(repeats, "GROUP", 10)
+    monkeypatch.setattr(repeats, "LOCAL_GROUP", 1)
+    got = repeats.remove_repeats(documents(rows)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows)
+    assert len(sizes) == 1 and sizes[0] <= 10
+
+
 def test_pieces_of_a_long_text(monkeypatch):
     rng = random.Random(9)
     data = np.frombuffer("".join(rng.choice("abc") for _ in range(9000)).encode(), np.uint8)
