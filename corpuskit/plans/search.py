@@ -207,6 +207,28 @@ def search_documents(spark, sf):
     return R.search_documents(asked, rows, docs, 5, "scope")
 
 
+@query(
+    "search_all_documents",
+    M.with_sql(
+        M.DOC_SQL,
+        HYBRID
+        + BEST_DOC_SQL
+        + """, found AS (SELECT query_id, rank, document_id, title, snippet, score FROM per_doc),
+        fallback AS (SELECT query_id, document_id, l.title,
+            coalesce(nullif(substring(summary, 1, 160), ''), 'No summary yet.') AS snippet,
+            row_number() OVER (PARTITION BY query_id ORDER BY newest DESC, document_id) AS rank
+          FROM queries q JOIN docs l USING (user_id)
+          WHERE query_id NOT IN (SELECT query_id FROM found)
+            AND contains(lower(l.title || ' ' || coalesce(summary, '')), lower(query_text)))
+        SELECT * FROM found UNION ALL
+        SELECT query_id, rank, document_id, title, snippet, 0.8::DOUBLE FROM fallback WHERE rank <= 5""",
+    ),
+)
+def search_all_documents(spark, sf):
+    """Every text is searched in all chunks of its user; ``search_documents`` tests the fallback."""
+    return R.search_documents(M.queries(spark, sf), candidates(spark, sf), M.docs(spark, sf), 5)
+
+
 @query(
     "local_confidence",
     M.with_sql(

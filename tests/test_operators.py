@@ -98,6 +98,16 @@ def test_search_documents_fallback(spark):
     ]
 
 
+def test_documents_of_all_languages_are_searched_by_content(spark):
+    """With every text of the benchmark; none is replaced and no document left out."""
+    found = S.search_all_documents(spark, SF).join(M.raw_docs(spark, SF).select("document_id", "lang"), "document_id")
+    hits = found.filter(F.col("score") != retrieval.FALLBACK_SCORE)
+    assert {r.lang for r in hits.select("lang").distinct().collect()} == {r.lang for r in M.raw_docs(spark, SF).select("lang").distinct().collect()}
+    best = retrieval.hybrid_topk(M.queries(spark, SF), S.candidates(spark, SF), 1).select("query_id", "document_id")
+    first = found.filter("rank = 1").select("query_id", "document_id")
+    assert best.count() > 0 and best.exceptAll(first).count() == 0
+
+
 # --- duplicates ---
 
 
