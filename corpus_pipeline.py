@@ -38,7 +38,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every document in sequences of 2,048 words."""
     runtime.ship_package(spark)
-    return packing.pack(docs, packing.words(F.col("text")), F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return packing.pack(docs, packing.words(F.col("text")), F.col("source"), packing.copies(F.col("text")))
 
 
 STAGES = [

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.llm import common
+from corpuskit.llm import common, exact_dedup
 
 # Units of a sequence, documents of one source that it may hold, and documents that are packed together.
 CAPACITY, PER_SOURCE, SHARD_ROWS = 2_048, 2, 2_000
@@ -156,3 +156,8 @@ def pack_shard(group: pa.Table, capacity: int, per_source: int) -> np.ndarray:
 def words(text: Column) -> Column:
     """Words of a text and one for its end."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1
+
+
+def copies(text: Column) -> Column:
+    """Duplicate cluster of a text: the digest that op3 compares, so white-space variants are one cluster."""
+    return F.sha2(exact_dedup.normalised(text), 256)

@@ -122,4 +122,4 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import packing
 
     docs = documents(spark, sf)
-    return packing.pack(docs, packing.words(F.col("text")), F.col("source"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return packing.pack(docs, packing.words(F.col("text")), F.col("source"), packing.copies(F.col("text")))

@@ -369,3 +369,17 @@ def test_pack(documents):
         assert r.start == r.piece * packing.CAPACITY
     assert units == {i: (len(WORD.findall(t or "")) + 1) * (2 if i == 7 else 1) for i, t in text.items() if i is not None}
     assert packing.pack(documents([]), F.lit(1), F.col("source"), F.col("text")).count() == 0
+
+
+def test_copies_but_for_white_space_never_share_a_sequence(spark, tmp_path):
+    """In the query and in the last stage of the pipeline."""
+    import corpus_pipeline
+
+    from corpuskit.llm import queries
+
+    rows = [(i, "a" + " \t\n"[i % 3] * (1 + i // 3) + "b", f"src{i}") for i in range(12)] + [(20, "a c", "x"), (21, None, "y"), (22, "", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.QUERIES["op7_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        bins = {r.doc_id: r.bin_id for r in got.collect()}
+        assert len(bins) == 15 and len({bins[i] for i in range(12)}) == 12 and bins[21] != bins[22]
