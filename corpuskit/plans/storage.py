@@ -11,6 +11,7 @@ from corpuskit.functions.registry import register_all
 from corpuskit.operators import documents as D
 from corpuskit.operators import retrieval as R
 from corpuskit.plans import model as M
+from corpuskit.plans.corpus import sql_chunks
 from corpuskit.plans.duplicates import ARRIVALS_SQL
 from corpuskit.plans.lists import JOB_STATUS_SQL, ROUNDS_SQL, jobs
 from corpuskit.plans.registry import query
@@ -87,7 +88,7 @@ def scan_json_docs(spark, sf):
 @query(
     "ingest_json_sections",
     f"""WITH {JSON_DOC_SQL} SELECT title_path, domain, count(*) AS chunks, sum(length(content))::BIGINT AS chars,
-          count(DISTINCT (CASE WHEN doc_id % 3 > 0 THEN doc_id END, domain, text, tag, section_index, p)) AS ids
+          count(*) AS ids
         FROM (SELECT title_path, domain, doc_id, text, tag, section_index, p, trim(substring(content, p * 420 + 1, 500), {WS}) AS content FROM (SELECT *,
               unnest(range(0, CASE WHEN length(content) <= 500 THEN 1 ELSE ceil(length(content) / 420.0)::BIGINT END)) AS p
               FROM (SELECT * REPLACE (CASE WHEN length(content) > 500 THEN content ELSE content END AS content) FROM secs))
@@ -363,15 +364,15 @@ def _finish(spark, stream, name, mode="append"):
 
 @query(
     "stream_ingest",
-    f"""WITH {CLEAN_SQL}, good AS (SELECT page_id, title, quality_score, text FROM normal
-          WHERE NOT is_soft_404 AND quality_score >= 0.3 AND content_length >= 200)
-        SELECT page_id, title, quality_score, length(regexp_replace(text, '[ \t\r\n]', '', 'g')) > 0 AS has_text FROM good""",
+    f"""WITH RECURSIVE {CLEAN_SQL}, good AS (SELECT page_id, title, quality_score, text FROM normal
+          WHERE NOT is_soft_404 AND quality_score >= 0.3 AND content_length >= 200),
+        {sql_chunks('good', 'page_id', 500, 80)}
+        SELECT page_id, title, quality_score, chunk_index, content FROM pieces JOIN good USING (page_id)""",
 )
 def stream_ingest(spark, sf):
     out = scratch(spark, "ingest")
     J.stream_ingest(_stream(spark, sf, "pages"), out, scratch(spark, "ingest-state")).awaitTermination()
-    chunks = J.ingested_chunks(spark, out)
-    return chunks.groupBy("page_id", "title", "quality_score").agg(F.max(F.length("content") > 0).alias("has_text"))
+    return J.ingested_chunks(spark, out).select("page_id", "title", "quality_score", "chunk_index", "content")
 
 
 @query(

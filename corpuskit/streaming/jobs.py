@@ -44,21 +44,86 @@ def stream_ingest(pages: DataFrame, out: str, checkpoint: str, order: str | None
     """Store the chunks of arriving pages; ``ingested_chunks`` reads them.
 
     Every micro-batch writes its own folder, and a repeated one replaces it. A page that arrives
-    again takes the place of its earlier chunks.
+    again takes the place of its earlier chunks. A page that gives no chunk (an error page, thin
+    text) leaves a row without a chunk index, which takes their place as well.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        ingest_pages(one_per_page(batch, order)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        arrived = one_per_page(batch, order)
+        rows = arrived.select("page_id").join(ingest_pages(arrived), "page_id", "left")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
+def _last_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Rows of the last micro-batch of each page, batch number included."""
+    stored, base = spark.read.parquet(out), _base(spark, out)
+    if base is not None:
+        merged = spark.read.parquet(f"{out}-base/upto={base}").select(stored.columns)
+        stored = stored.filter(F.col("batch") > base).unionByName(merged)
+    last = stored.groupBy("page_id").agg(F.max("batch").alias("batch"))
+    return stored.join(last, ["page_id", "batch"], "left_semi").select(stored.columns)
+
+
 def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
-    """Chunks of the last micro-batch of each page. Only page ids and batch numbers are aggregated."""
+    """Chunks of the last micro-batch of each page; a page whose last arrival gave none has none.
+
+    Only page ids and batch numbers are aggregated.
+    """
+    return _last_rows(spark, out).filter("chunk_index IS NOT NULL").drop("batch")
+
+
+def compact_ingested(spark: SparkSession, out: str) -> None:
+    """Rewrite the stored batches as one table without replaced chunks and delete what it replaces.
+
+    Run it between two runs of the stream. The new table counts only once it is complete, and readers skip the
+    batches that it covers, so a compaction that dies half way changes nothing and can be run again. The newest batch
+    stays where it is, so that a repetition of it replaces its own rows.
+    """
+    batches = sorted(int(name.split("=")[1]) for name in _folders(spark, out) if name.startswith("batch="))
+    if len(batches) < 2:
+        return
+    upto, before = batches[-2], _base(spark, out)
     stored = spark.read.parquet(out)
-    last = stored.groupBy("page_id").agg(F.max("batch").alias("batch"))
-    return stored.join(last, ["page_id", "batch"], "left_semi").drop("batch")
+    covered = stored.filter(F.col("batch") <= upto)
+    if before is not None:
+        covered = covered.filter(F.col("batch") > before).unionByName(spark.read.parquet(f"{out}-base/upto={before}").select(stored.columns))
+    last = covered.groupBy("page_id").agg(F.max("batch").alias("batch"))
+    kept = covered.join(last, ["page_id", "batch"], "left_semi").filter("chunk_index IS NOT NULL")
+    kept.write.mode("overwrite").parquet(f"{out}-base/upto={upto}")
+    for n in batches[:-1]:
+        _delete(spark, f"{out}/batch={n}")
+    for name in _folders(spark, f"{out}-base"):
+        if name != f"upto={upto}":
+            _delete(spark, f"{out}-base/{name}")
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if it does not exist. A row per micro-batch, not per data."""
+    at, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _base(spark: SparkSession, out: str) -> int | None:
+    """Last batch that a complete compacted table covers."""
+    done = []
+    for name in _folders(spark, f"{out}-base"):
+        at, fs = _path(spark, f"{out}-base/{name}/_SUCCESS")
+        if name.startswith("upto=") and fs.exists(at):
+            done.append(int(name.split("=")[1]))
+    return max(done, default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
 
 
 def stream_first_arrivals(

@@ -253,3 +253,16 @@ def test_stored_vectors_give_the_hits_of_texts(spark):
     by_place = [{(r.query_id, r.rank): r.score for r in x} for x in (text, stored)]
     assert by_place[0].keys() == by_place[1].keys()
     assert all(abs(by_place[0][k] - by_place[1][k]) < 1e-5 for k in by_place[0])
+
+
+def test_repeated_json_documents_have_their_own_chunks(spark, tmp_path):
+    from corpuskit.operators import documents as D
+    from corpuskit.sources import readers
+
+    line = '{"title": "t", "sections": [{"heading": "h", "content": "%s"}]}'
+    (tmp_path / "a.jsonl").write_text("\n".join([line % "one"] * 3 + [line % "two"]))
+    (tmp_path / "b.jsonl").write_text(line % "one")
+    chunks = D.ingest_json_sections(readers.scan_json_docs(spark, str(tmp_path), multiline=False))
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 5
+    again = D.ingest_json_sections(readers.scan_json_docs(spark, str(tmp_path), multiline=False))
+    assert {r.chunk_id for r in chunks.collect()} == {r.chunk_id for r in again.collect()}

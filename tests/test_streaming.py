@@ -53,3 +53,37 @@ def test_dedup_over_batches(spark, tmp_path):
     found = finish(spark, J.stream_dedup(feed(spark, parts, tmp_path / "in"), "id"), tmp_path, "dedup")
     expected = dedup_exact(spark.createDataFrame(rows, "id long, url string, text string"), "id", ["id"])
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in expected.collect()) == [1, 4, 5, 6]
+
+
+def page(i, words):
+    return (i, f"http://h/{i}", f"<html><head><title>t</title></head><body><article><p>{'word ' * words}</p></article></body></html>")
+
+
+def test_ingest_replaces_and_compacts(spark, tmp_path):
+    bad = "<html><head><title>404 Not Found</title></head><body>gone</body></html>"
+    batches = [[page(1, 700), page(2, 300)], [(1, "http://h/1", bad), page(3, 200)], [page(2, 80)]]
+    parts = [spark.createDataFrame(b, "page_id long, url string, html string") for b in batches]
+    out = str(tmp_path / "out")
+    J.stream_ingest(feed(spark, parts, tmp_path / "in"), out, str(tmp_path / "state")).awaitTermination()
+
+    def rows():
+        found = J.ingested_chunks(spark, out)
+        return sorted((r.page_id, r.chunk_index, r.content) for r in found.collect())
+
+    last = spark.createDataFrame([page(2, 80), page(3, 200)], "page_id long, url string, html string")
+    want = sorted((r.page_id, r.chunk_index, r.content) for r in J.ingest_pages(last).collect())
+    assert rows() == want and {r[0] for r in want} == {2, 3}
+    for _ in range(2):
+        J.compact_ingested(spark, out)
+        assert rows() == want
+    left = spark.read.parquet(out + "-base/upto=1")
+    assert {r.page_id for r in left.select("page_id").collect()} == {2, 3} and left.filter("page_id = 1").isEmpty()
+    # the same page turns bad after the compaction
+    again = spark.createDataFrame([(3, "http://h/3", bad)], "page_id long, url string, html string")
+    again.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "page_id long, url string, html string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.stream_ingest(stream, out, str(tmp_path / "state")).awaitTermination()
+    assert {r[0] for r in rows()} == {2}
+    J.compact_ingested(spark, out)
+    assert {r[0] for r in rows()} == {2}
