@@ -422,7 +422,7 @@ def find_all(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with every span replaced by its kind in brackets and n_chars counted anew; a null text stays null."""
+    """The rows with every span replaced by its kind in brackets and n_chars counted anew; a null text stays null and keeps its count."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -432,7 +432,8 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
 
     out = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+        counted = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
