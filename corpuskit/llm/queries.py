@@ -123,3 +123,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
     docs = documents(spark, sf)
     return packing.pack(docs, packing.words(F.col("text")), F.col("source"), packing.copies(F.col("text")))
+
+
+@query("op13_mix")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import mixing
+
+    return mixing.mixed_documents(documents(spark, sf))
