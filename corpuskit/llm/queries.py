@@ -130,3 +130,10 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import mixing
 
     return mixing.mixed_documents(documents(spark, sf))
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import spelling
+
+    return spelling.spelling_groups(documents(spark, sf))
