@@ -137,3 +137,35 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     from corpuskit.llm import spelling
 
     return spelling.spelling_groups(documents(spark, sf))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+f AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[:c.j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cuts),
+hidden AS (SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates d
+  ON d.lang = c.lang AND d.k > c.k AND 100 * d.a::HUGEINT >= 80 * c.a::HUGEINT
+  AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' ')),
+ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM candidates JOIN lowest USING (lang, phrase) ANTI JOIN hidden USING (lang, phrase) WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrases", PHRASE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from corpuskit.llm import phrases
+
+    return phrases.collocations(documents(spark, sf))
