@@ -27,7 +27,8 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def _grams(run: Column, size: int) -> Column:
+def grams(run: Column, size: int) -> Column:
+    """All parts of ``size`` characters of a text that has as many."""
     starts = F.sequence(F.lit(1), F.length(run) - (size - 1))
     return F.transform(starts, lambda i: F.substring(run, i, F.lit(size)))
 
@@ -39,7 +40,7 @@ def tokenize(c: Column) -> Column:
     runs = F.regexp_extract_all(low, F.lit(f"([{CJK}]+)"), F.lit(1))
     cjk = F.transform(
         runs,
-        lambda r: F.when(F.length(r) <= 3, F.array(r)).otherwise(F.concat(_grams(r, 2), _grams(r, 3))),
+        lambda r: F.when(F.length(r) <= 3, F.array(r)).otherwise(F.concat(grams(r, 2), grams(r, 3))),
     )
     return F.array_distinct(F.concat(words, F.flatten(cjk)))
 

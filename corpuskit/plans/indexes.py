@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit.operators import postings as N
 from corpuskit.operators import retrieval as R
 from corpuskit.operators import vector_index as I
 from corpuskit.plans import model as M
+from corpuskit.plans import search as S
 from corpuskit.plans.registry import query
 from corpuskit.plans.storage import scratch
 
@@ -41,3 +43,17 @@ def vector_index_recall(spark, sf):
         (F.count("own") >= 0.9 * F.count("*")).alias("recall_is_090"),
         F.coalesce(F.max(F.abs(F.col("own") - F.col("score"))) <= 2e-6, F.lit(False)).alias("scores_are_exact"),
     )
+
+
+@query(
+    "keyword_index_topk",
+    M.with_sql(
+        M.DOC_SQL,
+        S.BY_USER + S.sql_pairs() + "," + S.sql_hits("kw", 5, "kw > 0") + f" SELECT {S.HIT_COLUMNS} FROM hits",
+    ),
+)
+def keyword_index_topk(spark, sf):
+    """The keyword search of all benchmark texts, answered from stored postings."""
+    path = scratch(spark, "postings")
+    N.build(S.candidates(spark, sf), path)
+    return N.keyword_topk(M.queries(spark, sf), path, 5)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskit.operators import postings as N
 from corpuskit.operators import retrieval as R
 from corpuskit.operators import vector_index as I
 
@@ -82,3 +83,60 @@ def test_empty(spark, vectors, tmp_path):
     I.build(vectors.limit(0), path, "vec_id", "scope")
     asked = vectors.filter("vec_id = 3").withColumnRenamed("vec_id", "query_id")
     assert I.search(asked, path, 5).count() == 0
+
+
+# --- postings ---
+
+
+def texts(spark):
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "alphabet", "x1", "foo_bar", "zz", "12", "退款", "规则", "a", "the"]
+    rare = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(900):
+        own = [words[j] for j in rng.integers(len(words), size=rng.integers(0, 12))] + [rare[j] for j in rng.integers(400, size=3)]
+        rows.append((i, int(i % 3 != 0) if i % 50 else None, i % 7, rng.choice([" ", ", ", "", "。"]).join(own).title() if i % 11 else None))
+    df = spark.createDataFrame(rows, "chunk_id long, user_id long, newest long, content string")
+    return df.selectExpr("*", "newest AS created_at", "chunk_id AS document_id", "'d' AS document_title", "'c' AS chunk_title", "content AS search_text")
+
+
+ASKED = [
+    "alpha", "Alpha beta", "lph", "w17 w18", "w1", "the gamma w3, the", "nothing here", "zz12", "12", "bet", "", "  ", None, "!", "a", "退款", "退", "规则退款",
+    "alpha beta gamma delta alphabet x1 zz", "eta g", "W17, The", "foo_bar", "o_b", "a w2", ", ", "w399 w398 w397", "alphabet zz the", "x1the",
+]
+
+
+@pytest.mark.parametrize("k,block,first", [(1, 4, 1), (5, 128, 200), (40, 3, 10)])
+def test_postings_give_the_scan(spark, tmp_path, monkeypatch, k, block, first):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "FIRST_ROWS", first)
+    rows, path = texts(spark), str(tmp_path / "postings")
+    N.build(rows, path)
+    asked = [(i, i % 2, t) for i, t in enumerate(ASKED)] + [(100, None, "alpha")] + [(200 + i, 1, t) for i, t in enumerate(ASKED)]
+    asked = spark.createDataFrame(asked, "query_id long, user_id long, query_text string")
+    got = N.keyword_topk(asked, path, k)
+    want = R.keyword_topk(asked, rows, k)
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score, r.snippet) for r in df.collect())
+    assert got.columns == want.columns and key(got) == key(want)
+
+
+def test_postings_read_few_rows(spark, tmp_path):
+    """Of rows that share common words only those with the rare ones are read."""
+    rows = [(i, 1, i, "common words in every row " * 3 + f"own{i} pair{i // 2} group{i // 20}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "chunk_id long, user_id long, newest long, content string")
+    df = df.selectExpr("*", "newest AS created_at", "chunk_id AS document_id", "'d' AS document_title", "'c' AS chunk_title", "content AS search_text")
+    path = str(tmp_path / "postings")
+    N.build(df, path)
+    asked = [(i, 1, f"common words in every row group{i} pair{i * 10} own{i * 20}") for i in range(50)]
+    asked = spark.createDataFrame(asked, "query_id long, user_id long, query_text string")
+    read = N.keyword_scores(asked, path, 3).count()
+    assert read < 0.01 * 50 * 4000
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+    assert key(N.keyword_topk(asked, path, 3)) == key(R.keyword_topk(asked, df, 3))
+
+
+def test_postings_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    N.build(texts(spark).limit(0), path)
+    asked = spark.createDataFrame([(1, 1, "alpha beta")], "query_id long, user_id long, query_text string")
+    assert N.keyword_topk(asked, path).count() == 0
