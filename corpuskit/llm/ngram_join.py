@@ -22,12 +22,15 @@ from corpuskit.llm import common
 WORDS, PERCENT = 5, 75
 # Published lanes of one reducing task, and parts of the lanes per task.
 LANES_EACH, PARTS_EACH = 1_000_000, 8
+# Members of lanes of one task that compares them, and documents to be verified whose ids are broadcast.
+ROWS_EACH, SHIPPED_IDS = 100_000, 2_000_000
 # Documents and lanes that a reading task gathers before it sends them on.
 FLUSH_LANES = 700_000
 # Members of a lane within one such bundle beyond which only the smallest goes to the lane's common task.
 LOCAL_GROUP = 64
-# Members of a block where the sets of a lane are compared block by block.
-BLOCK = 128
+# Members of a block where the sets of a lane are compared block by block, and members of a lane beyond which a pair is
+# reported by one of its common lanes only.
+BLOCK, WIDE = 128, 128
 LOW39, MARK = np.uint64((1 << 39) - 1), np.uint64(1 << 39)
 
 
@@ -363,7 +366,9 @@ def _close(x: bytes, y: bytes, most: int) -> bool:
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, steps: common.Steps) -> DataFrame:
     """The pairs whose sets link, by their shingles."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = steps.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    if wanted.count() <= SHIPPED_IDS:  # the texts stay where they are
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,13 +394,22 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, steps:
 
 
 def _across(members: DataFrame, found: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one lane in different components that sizes and bit sketches allow, compared in blocks."""
+    """Pairs of members of one lane in different components that sizes and bit sketches allow, compared in blocks.
+
+    Near copies share many lanes, so a pair met in a wide lane is reported by the first lane of both alone.
+    """
+    rows_in = members.count()
     placed = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"))
-    mixed = mixed.filter("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "key").join(info, F.col("id") == F.col("doc_id")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    mixed = mixed.filter("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), (F.col("m") > WIDE).alias("wide"))
+    inside = placed.join(mixed, "key")
+    # a document's wide lanes: of those that a pair has in common the first reports it
+    wide = inside.filter("wide").groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("lanes"))
+    rows = inside.join(info, F.col("id") == F.col("doc_id")).join(wide, "id", "left")
+    rows = rows.withColumn("lanes", F.when(F.col("wide"), F.col("lanes")).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "id", "component", "n", "sketch", "own", others)
+    rows = rows.select("key", "id", "component", "n", "sketch", "lanes", "own", others)
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +418,7 @@ def _across(members: DataFrame, found: DataFrame, info: DataFrame, percent: int)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = common.partitions(members.sparkSession, rows_in, ROWS_EACH)
     met = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return met.mapInArrow(run, "a long, b long").distinct()
 
@@ -428,7 +442,10 @@ def _block_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]
     close = np.concatenate(
         [np.bitwise_count(bits[x[k : k + 4096]] ^ bits[y[k : k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)]
     )
-    keep = close <= most
+    keep = np.flatnonzero(close <= most)
+    key = group.column("key")[0].as_py()
+    lanes = {int(k): group.column("lanes")[int(k)].values.to_numpy() for k in np.union1d(x[keep], y[keep])}
+    keep = [k for k in keep if not len(lanes[int(x[k])]) or np.intersect1d(lanes[int(x[k])], lanes[int(y[k])], assume_unique=True)[0] == key]
     a, b = ids[x[keep]], ids[y[keep]]
     return np.minimum(a, b), np.maximum(a, b)
 

@@ -115,7 +115,12 @@ def test_jaccard_components(documents, small, monkeypatch):
     if small:  # every lane group is handled as a large one
         monkeypatch.setattr(ngram_join, "LOCAL_GROUP", 2)
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "WIDE", 2)
+        monkeypatch.setattr(ngram_join, "SHIPPED_IDS", 0)
     rows = near_copies(7)
+    # a passage that a third of all documents share, most of them otherwise different
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [(30_000 + i, f"{passage} {' '.join(f'q{i // 3}x{k}' for k in range(14 + i % 9))}") for i in range(75)]
     rows += [(20_000, None), (20_001, ""), (20_002, " \n"), (20_003, "One two"), (20_004, "one  TWO"), (20_005, "x " * 30_000), (20_006, "x " * 5), (None, "One two")]
     want = brute_jaccard([r for r in rows if r[0] is not None])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(documents(rows)).collect()}
