@@ -26,7 +26,7 @@ LONGEST, LEAST, COVERED, RANKS = 4, 30, 80, 2_000
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 # Words of a bundle, counted groups of a reducing task, and parts of the groups per task.
-BUNDLE_WORDS, GROUPS_EACH, PARTS_EACH = 1_000_000, 1_500_000, 4
+BUNDLE_WORDS, GROUPS_EACH, PARTS_EACH = 1_000_000, 500_000, 2
 U64 = np.uint64
 
 BLANK = np.zeros(256, bool)
@@ -360,7 +360,8 @@ def frequent_phrases(
     found: list[DataFrame] = []
     for length in range(1, longest + 1):
         words = relation.agg(F.sum("words")).first()[0] or 0
-        tasks = common.partitions(docs.sparkSession, words // 2, GROUPS_EACH)
+        # by the words alone: a row per bundle and part would be many small ones with more parts than the groups need
+        tasks = max(1, -(-words // (2 * GROUPS_EACH)))
         answers = _frequent(relation, length == 1, least, tasks)
         after = steps.write(_extended(relation, answers, length == 1, length == longest))
         found.append(steps.write(after.select("lang", F.explode("names").alias("p")).select("p.key", "lang", "p.f", "p.a", "p.b", "p.text")))
