@@ -172,48 +172,11 @@ def best_chunk_per_document(spark, sf):
     return R.best_chunk_per_document(hits, 3).select("query_id", "rank", "document_id", "chunk_id", "score")
 
 
-@query(
-    "search_documents",
-    M.with_sql(
-        M.DOC_SQL,
-        """, sq AS (SELECT query_id, user_id || '/' || (query_id % 3 = 0) AS scope,
-                     CASE WHEN query_id % 3 = 0 THEN 'DOC ' ELSE query_text END AS query_text FROM queries),
-        listed AS (SELECT *, user_id || '/' || (lang = 'de') AS scope FROM docs),
-        sc AS (SELECT chunk_id, user_id || '/false' AS scope FROM candidates JOIN docs USING (document_id, user_id)
-               WHERE lang <> 'de'), """
-        + sql_pairs()
-        + ","
-        + sql_hits(FINAL, 5, "kw > 0 OR vec > 0")
-        + BEST_DOC_SQL
-        + """, found AS (SELECT query_id, rank, document_id, title, snippet, score FROM per_doc),
-        fallback AS (SELECT query_id, document_id, l.title, substring(summary, 1, 160) AS snippet,
-            row_number() OVER (PARTITION BY query_id ORDER BY newest DESC) AS rank FROM sq q JOIN listed l USING (scope)
-          WHERE query_id NOT IN (SELECT query_id FROM found) AND contains(lower(l.title || ' ' || summary), lower(query_text)))
-        SELECT * FROM found UNION ALL
-        SELECT query_id, rank, document_id, title, snippet, 0.8::DOUBLE FROM fallback WHERE rank <= 5""",
-    ),
-)
-def search_documents(spark, sf):
-    """German documents have no chunks here: searches in them fall back to title and summary."""
-    third = F.col("query_id") % 3 == 0
-    scope = F.concat(F.col("user_id").cast("string"), F.lit("/"), third.cast("string"))
-    asked = M.queries(spark, sf).select(
-        "query_id", scope.alias("scope"), F.when(third, "DOC ").otherwise(F.col("query_text")).alias("query_text")
-    )
-    german = F.concat(F.col("user_id").cast("string"), F.lit("/"), (F.col("lang") == "de").cast("string"))
-    docs = M.docs(spark, sf).withColumn("scope", german)
-    rows = R.chunks_with_documents(M.chunks(spark, sf), docs.filter("lang <> 'de'"))
-    rows = rows.withColumn("scope", F.concat(F.col("user_id").cast("string"), F.lit("/false")))
-    return R.search_documents(asked, rows, docs, 5, "scope")
-
-
-@query(
-    "search_all_documents",
-    M.with_sql(
-        M.DOC_SQL,
-        HYBRID
-        + BEST_DOC_SQL
-        + """, found AS (SELECT query_id, rank, document_id, title, snippet, score FROM per_doc),
+SEARCH_SQL = M.with_sql(
+    M.DOC_SQL,
+    HYBRID
+    + BEST_DOC_SQL
+    + """, found AS (SELECT query_id, rank, document_id, title, snippet, score FROM per_doc),
         fallback AS (SELECT query_id, document_id, l.title,
             coalesce(nullif(substring(summary, 1, 160), ''), 'No summary yet.') AS snippet,
             row_number() OVER (PARTITION BY query_id ORDER BY newest DESC, document_id) AS rank
@@ -222,10 +185,13 @@ def search_documents(spark, sf):
             AND contains(lower(l.title || ' ' || coalesce(summary, '')), lower(query_text)))
         SELECT * FROM found UNION ALL
         SELECT query_id, rank, document_id, title, snippet, 0.8::DOUBLE FROM fallback WHERE rank <= 5""",
-    ),
 )
-def search_all_documents(spark, sf):
-    """Every text is searched in all chunks of its user; ``search_documents`` tests the fallback."""
+
+
+@query("search_documents", SEARCH_SQL)
+@query("search_all_documents", SEARCH_SQL)
+def search_documents(spark, sf):
+    """Every benchmark text is searched in all chunks of its user; tests cover the queries that fall back to titles."""
     return R.search_documents(M.queries(spark, sf), candidates(spark, sf), M.docs(spark, sf), 5)
 
 
