@@ -70,6 +70,36 @@ def blocked_network_join(host_ips: DataFrame, networks: tuple[str, ...] = BLOCKE
     )
 
 
+def _bits(key: Column) -> Column:
+    """``address_key`` with its digits in binary, 32 or 128 of them."""
+    parts = F.sequence(F.lit(2), F.length(key) - 7, F.lit(8))
+    return F.array_join(F.transform(parts, lambda i: F.lpad(F.conv(F.substring(key, i, F.lit(8)), 16, 2), 32, "0")), "")
+
+
+def first_network(rows: DataFrame, networks: DataFrame, ip: str = "ip", network: str = "network", order: str = "rule_order") -> DataFrame:
+    """Add ``reason``, the first network by ``order`` that holds the address, null when none does.
+
+    ``networks`` may have any number of rows: an address is cut to the prefix lengths that occur (33 and 129 at most), and
+    prefixes are joined by equality. Only those lengths come to the driver. Addresses are joined once, however often they
+    occur; of networks that are listed twice the first counts; a null address is in no network.
+    """
+    length = F.substring_index(network, "/", -1).cast("int")
+    key = address_key(F.substring_index(network, "/", 1))
+    listed = networks.select(F.substring(key, 1, 1).alias("_v"), length.alias("_n"), F.substring(_bits(key), F.lit(1), length).alias("_p"), order, network)
+    listed = listed.groupBy("_v", "_n", "_p").agg(F.min(F.struct(F.col(order).alias("o"), F.col(network).alias("reason"))).alias("_rule"))
+    lengths = sorted(tuple(r) for r in listed.select("_v", "_n").distinct().collect())
+    own = rows.select(F.col(ip).alias("_ip")).filter("_ip IS NOT NULL").distinct()
+    own = own.withColumn("_key", address_key(F.col("_ip"))).select("_ip", F.substring("_key", 1, 1).alias("_v"), _bits(F.col("_key")).alias("_b"))
+    if not lengths:
+        return rows.withColumn("reason", F.lit(None).cast("string"))
+    cuts = F.array(*[F.struct(F.lit(v).alias("_v"), F.lit(n).alias("_n")) for v, n in lengths])
+    cut = own.select("_ip", "_b", "_v", F.explode(F.filter(cuts, lambda c: c["_v"] == F.col("_v"))).alias("c"))
+    cut = cut.select("_ip", "_v", F.col("c._n").alias("_n"), F.expr("substring(_b, 1, c._n)").alias("_p"))
+    held = cut.join(listed, ["_v", "_n", "_p"]).groupBy("_ip").agg(F.min("_rule").alias("_rule"))
+    held = held.select("_ip", F.col("_rule.reason").alias("reason"))
+    return rows.join(held, rows[ip] == held["_ip"], "left").drop("_ip")
+
+
 def _glob_regex(pattern: Column) -> Column:
     escaped = F.regexp_replace(pattern, r"([\\.^$+(){}|])", r"\\$1")
     open_set = F.when(escaped.contains("]"), F.regexp_replace(escaped, r"\[!", "[^")).otherwise(

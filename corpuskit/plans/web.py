@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import text as X
 from corpuskit.operators import citations as C
+from corpuskit.operators import network
 from corpuskit.operators import pages as P
 from corpuskit.operators import retrieval as R
 from corpuskit.plans import model as M
@@ -514,3 +515,30 @@ def ingest_decision(spark, sf):
         (F.col("turn") % 3).alias("citation_count"),
     )
     return C.ingest_decision(turns).select("message_id", "saved", "skipped")
+
+
+@query(
+    "first_network",
+    """
+    WITH ips AS (SELECT event_id, '10.' || user_id % 256 || '.' || (event_id // 256) % 256 || '.' || event_id % 256 AS ip,
+                   user_id % 256 AS x, (event_id // 256) % 256 AS y FROM events),
+    nets AS (SELECT p_partkey % 256 AS x, (p_partkey // 256) % 8 AS y, p_partkey AS o, '10.' || p_partkey % 256 || '.' ||
+               (p_partkey // 256) % 8 || '.0/24' AS network FROM part
+             UNION ALL SELECT s_suppkey % 256, NULL, 1000000 + s_suppkey, '10.' || s_suppkey % 256 || '.0.0/16' FROM supplier),
+    hit AS (SELECT event_id, arg_min(network, o) AS reason FROM ips JOIN nets ON ips.x = nets.x AND (nets.y IS NULL OR nets.y = ips.y)
+            GROUP BY 1)
+    SELECT event_id, ip, reason FROM ips LEFT JOIN hit USING (event_id)""",
+)
+def first_network(spark, sf):
+    def dotted(*parts):
+        return F.concat_ws(".", F.lit("10"), *[p.cast("string") for p in parts])
+
+    e, p, s = F.col("event_id"), F.col("p_partkey"), F.col("s_suppkey")
+    ips = M.table(spark, sf, "events").select("event_id", dotted(F.col("user_id") % 256, F.floor(e / 256) % 256, e % 256).alias("ip"))
+    small = M.table(spark, sf, "part").select(
+        F.concat(dotted(p % 256, F.floor(p / 256) % 8, F.lit(0)), F.lit("/24")).alias("network"), p.alias("rule_order")
+    )
+    wide = M.table(spark, sf, "supplier").select(
+        F.concat(dotted(s % 256, F.lit(0), F.lit(0)), F.lit("/16")).alias("network"), (s + 1_000_000).alias("rule_order")
+    )
+    return network.first_network(ips, small.unionByName(wide))

@@ -286,3 +286,30 @@ def test_registered_functions_return_errors(spark):
     assert row.k.value is None and row.k.error.startswith("TypeError")
     assert row.u == "o'brien"
     assert spark.sql("SELECT * FROM ck_text_chunks(repeat('a', 250), 100, 0)").count() == 3
+
+
+def test_first_network_of_many(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    nets = [f"{rng.randrange(40)}.{rng.randrange(256)}.0.0/{rng.choice([8, 12, 16])}" for _ in range(3000)]
+    nets += [f"{rng.randrange(40)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}/{rng.choice([24, 31, 32])}" for _ in range(3000)]
+    nets += [f"20{rng.randrange(9)}:{rng.randrange(99)}::/{rng.choice([7, 32, 48, 127])}" for _ in range(500)] + ["77.0.0.0/8", "77.1.0.0/16", "77.0.0.0/8"]
+    nets = [str(ipaddress.ip_network(n, strict=False)) for n in nets]
+    ips = [f"{rng.randrange(60)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(400)] + ["77.1.2.3"] * 3 + [None]
+    ips += [f"20{rng.randrange(9)}:{rng.randrange(99)}::{rng.randrange(99)}" for _ in range(60)]
+    order = {n: i for i, n in reversed(list(enumerate(nets)))}
+    parsed = [(i, ipaddress.ip_network(n)) for n, i in sorted(order.items(), key=lambda x: x[1])]
+    want = []
+    for ip in ips:
+        a = ipaddress.ip_address(ip) if ip else None
+        want.append((ip, next((str(n) for _, n in parsed if a and a.version == n.version and a in n), None)))
+    got = network.first_network(
+        spark.createDataFrame([(ip,) for ip in ips], "ip string"),
+        spark.createDataFrame(list(zip(nets, range(len(nets)))), "network string, rule_order int"),
+    )
+    key = lambda r: (r[0] or "", r[1] or "")
+    assert sorted(map(tuple, got.select("ip", "reason").collect()), key=key) == sorted(want, key=key)
+    empty = spark.createDataFrame([], "network string, rule_order int")
+    assert network.first_network(got.select("ip"), empty).filter("reason IS NOT NULL").isEmpty()
