@@ -160,14 +160,15 @@ def best_chunk_per_document(hits: DataFrame, k: int) -> DataFrame:
 
 
 def search_documents(
-    queries: DataFrame, candidates: DataFrame, docs: DataFrame, k: int = 5, scope: str = "user_id"
+    queries: DataFrame, candidates: DataFrame, docs: DataFrame, k: int = 5, scope: str = "user_id", vector: str = "text"
 ) -> DataFrame:
     """Documents by their best chunk; queries without any hit fall back to title and summary.
 
-    Query texts are stripped; a blank query gets the documents of its scope's preview.
+    Query texts are stripped; a blank query gets the documents of its scope's preview. ``vector="stored"`` compares the
+    ``embedding`` columns of queries and candidates, as in ``hybrid_topk``.
     """
     queries = stripped(queries)
-    hits = best_chunk_per_document(runtime.materialize(hybrid_topk(queries, candidates, k, scope)), k)
+    hits = best_chunk_per_document(runtime.materialize(hybrid_topk(queries, candidates, k, scope, vector)), k)
     found = hits.select("query_id", "rank", "document_id", F.col("document_title").alias("title"), "snippet", "score")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     summary = F.substring(F.coalesce("summary", F.lit("")), 1, 160)
@@ -192,11 +193,12 @@ def search_documents(
     return found.unionByName(fallback.select(*found.columns))
 
 
-def chat_retrieval(turns: DataFrame, candidates: DataFrame, k: int = 4) -> DataFrame:
+def chat_retrieval(turns: DataFrame, candidates: DataFrame, k: int = 4, vector: str = "text") -> DataFrame:
     """Context of a chat turn: query_id, user_id, query_text, document_id (null = no document).
 
     A summary request for a document, or a turn without hits in its document, gets the first
-    chunks of the document; every other turn gets a hybrid search.
+    chunks of the document; every other turn gets a hybrid search, over the ``embedding`` columns
+    of both sides with ``vector="stored"``.
     """
     scoped = turns.withColumn(
         "turn_scope",
@@ -209,7 +211,7 @@ def chat_retrieval(turns: DataFrame, candidates: DataFrame, k: int = 4) -> DataF
     overview = F.col("document_id").isNotNull() & classify_summary_request(F.col("query_text"))
     summaries = scoped.filter(overview)
     searches = scoped.filter(~overview & (X.strip(F.coalesce("query_text", F.lit(""))) != ""))
-    hits = runtime.materialize(hybrid_topk(searches, placed, k, "turn_scope"))
+    hits = runtime.materialize(hybrid_topk(searches, placed, k, "turn_scope", vector))
     bound = scoped.filter(~overview & F.col("document_id").isNotNull())
     missed = bound.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     previews = empty_query_preview(summaries.unionByName(missed), placed, max(k, 6), "turn_scope")

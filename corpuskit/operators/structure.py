@@ -249,7 +249,9 @@ def attach_section(hits: DataFrame, sections: DataFrame) -> DataFrame:
     return hits.join(sections.select("document_id", "chunk_id", "section_id"), ["document_id", "chunk_id"], "left")
 
 
-def structure_search(queries: DataFrame, candidates: DataFrame, sections: DataFrame, k: int = 5) -> DataFrame:
-    """Hybrid search inside the document of each query (query_id, document_id, query_text)."""
-    hits = hybrid_topk(queries, candidates, k, "document_id").withColumn("score", F.round("score", 4))
+def structure_search(
+    queries: DataFrame, candidates: DataFrame, sections: DataFrame, k: int = 5, vector: str = "text"
+) -> DataFrame:
+    """Hybrid search inside the document of each query (query_id, document_id, query_text), ``vector`` as in ``hybrid_topk``."""
+    hits = hybrid_topk(queries, candidates, k, "document_id", vector).withColumn("score", F.round("score", 4))
     return attach_section(hits.withColumnRenamed("chunk_title", "title_path"), sections)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit import runtime
 from corpuskit.functions.vectors import norm
 from corpuskit.operators import conversations as V
 from corpuskit.operators import embedding as E
@@ -195,6 +196,17 @@ def search_documents(spark, sf):
     return R.search_documents(M.queries(spark, sf), candidates(spark, sf), M.docs(spark, sf), 5)
 
 
+def embedded(df, text):
+    """Rows with their vector, stored once instead of computed in every search."""
+    return runtime.materialize(E.hash_embedding(df, text, normalize=False))
+
+
+@query("search_documents_stored", SEARCH_SQL)
+def search_documents_stored(spark, sf):
+    asked = embedded(M.queries(spark, sf), "query_text")
+    return R.search_documents(asked, embedded(candidates(spark, sf), "search_text"), M.docs(spark, sf), 5, vector="stored")
+
+
 @query(
     "local_confidence",
     M.with_sql(
@@ -223,30 +235,36 @@ def turns(spark, sf):
     )
 
 
-@query(
-    "chat_retrieval",
-    M.with_sql(
-        M.DOC_SQL + " messages",
-        TURNS_SQL
-        + """, sq AS (SELECT query_id, user_id || '/' || coalesce(document_id::VARCHAR, '*') AS scope, query_text
-                    FROM turns WHERE NOT (document_id IS NOT NULL AND contains(lower(query_text), 'summary'))),
+CHAT_SQL = M.with_sql(
+    M.DOC_SQL + " messages",
+    TURNS_SQL
+    + """, sq AS (SELECT query_id, user_id || '/' || coalesce(document_id::VARCHAR, '*') AS scope, query_text
+                FROM turns WHERE NOT (document_id IS NOT NULL AND contains(lower(query_text), 'summary'))),
         sc AS (SELECT chunk_id, user_id || '/*' AS scope FROM candidates
-               UNION ALL SELECT chunk_id, user_id || '/' || document_id FROM candidates), """
-        + sql_pairs()
-        + ","
-        + sql_hits(FINAL, 4, "kw > 0 OR vec > 0")
-        + """, rest AS (SELECT * FROM turns WHERE document_id IS NOT NULL AND query_id NOT IN (SELECT query_id FROM hits)),
+           UNION ALL SELECT chunk_id, user_id || '/' || document_id FROM candidates), """
+    + sql_pairs()
+    + ","
+    + sql_hits(FINAL, 4, "kw > 0 OR vec > 0")
+    + """, rest AS (SELECT * FROM turns WHERE document_id IS NOT NULL AND query_id NOT IN (SELECT query_id FROM hits)),
         previews AS (SELECT query_id, c.document_id, chunk_title, substring(content, 1, 160) AS snippet,
-            row_number() OVER (PARTITION BY query_id ORDER BY newest DESC, chunk_id) AS rank
-          FROM rest JOIN candidates c USING (user_id, document_id))
+        row_number() OVER (PARTITION BY query_id ORDER BY newest DESC, chunk_id) AS rank
+      FROM rest JOIN candidates c USING (user_id, document_id))
         SELECT query_id, rank, document_id, chunk_title AS title, snippet, round(score, 4) AS score FROM hits
         UNION ALL SELECT query_id, rank, document_id, chunk_title, snippet, 0.5::DOUBLE FROM previews WHERE rank <= 6""",
-    ),
 )
+
+
+@query("chat_retrieval", CHAT_SQL)
 def chat_retrieval(spark, sf):
     return R.chat_retrieval(turns(spark, sf), candidates(spark, sf), 4)
 
 
+@query("chat_retrieval_stored", CHAT_SQL)
+def chat_retrieval_stored(spark, sf):
+    asked = embedded(turns(spark, sf), "query_text")
+    return R.chat_retrieval(asked, embedded(candidates(spark, sf), "search_text"), 4, vector="stored")
+
+
 def sql_cosines(rows: str, key: str, text: str, match: str, k: int) -> str:
     """Top k rows per query by hashed cosine; zero vectors score 0."""
     return f"""
