@@ -5,7 +5,8 @@ Neighbouring strings of a document mostly share their anchor, so a document fall
 equal anchors, so only segments that meet in a common gram can share strings, and all of them meet in one bucket. There
 the segments are sorted in shards, and the shards' Burrows-Wheeler transforms are merged by refining their interleave:
 round t sorts all suffixes by t bytes with one stable pass over the merged transform, and the places where the order is
-decided give the common prefixes. After LENGTH rounds a block of suffixes is a repeated interval.
+decided give the common prefixes. Suffixes that are decided leave the rounds. After LENGTH rounds a block of suffixes is a
+repeated interval.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = np.flatnonzero(left >= size)
         next_[inside] = rank[inside + size]
         pair = rank * (n + 1) + next_
-        order = np.argsort(pair, kind="stable")
+        order = order[np.argsort(pair[order], kind="stable")]  # in order already by the first half
         rank = _dense(pair, order)
         size *= 2
     before = np.concatenate([symbols[-1:], symbols[:-1]])
@@ -175,17 +176,44 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return source, block
 
 
+def undecided(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of two and more that ``merge`` ends with: places in the joined transforms, and the block of each.
+
+    A prefix that one suffix has alone is decided, and so is every prefix that extends it to the left: such suffixes leave
+    the rounds. The others carry their place in their shard, and a round moves it to the place of the suffix that is one
+    symbol longer. So a round costs what is still undecided, not the whole interleave.
+    """
+    symbols = np.concatenate(transforms)
+    longer = np.empty(len(symbols), np.int32)
+    begin = 0
+    for t in transforms:
+        longer[begin + np.argsort(t, kind="stable")] = np.arange(begin, begin + len(t), dtype=np.int32)
+        begin += len(t)
+    at, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for _ in range(depth):
+        symbol = symbols[at]
+        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0) :]
+        symbol, block = symbol[order], block[order]
+        start = np.ones(len(order) + 1, bool)  # with the end as a start
+        start[1:-1] = (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])
+        shared = np.flatnonzero(~(start[:-1] & start[1:]))
+        at, block = longer[at[order[shared]]], np.cumsum(start[:-1], dtype=np.int32)[shared]
+    return at, block
+
+
 def repeated_starts(texts: list[bytes], key: np.ndarray) -> np.ndarray:
     """(text, place) of the strings of LENGTH bytes that occur at a smaller key; key[text] + place orders them."""
     shards = [np.arange(k, len(texts), SHARDS) for k in range(min(SHARDS, len(texts)))]
     orders, transforms = zip(*(transform([texts[i] for i in s]) for s in shards), strict=True)
-    source, block = merge(list(transforms), LENGTH)
-    text, place = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    for k, (s, order) in enumerate(zip(shards, orders, strict=True)):
-        lengths = np.array([len(texts[i]) + 1 for i in s])
-        own = np.repeat(np.arange(len(s)), lengths)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        text[source == k], place[source == k] = s[own[order]], at[order]
+    at, block = undecided(list(transforms), LENGTH)
+    if not len(at):
+        return np.empty((0, 2), np.int64)
+    lengths = np.array([len(t) + 1 for s in shards for t in (texts[i] for i in s)])
+    ends = np.cumsum(lengths)
+    begins = np.repeat(np.cumsum([0, *map(len, orders)])[:-1], [len(o) for o in orders])
+    where = begins[at] + np.concatenate(orders)[at]  # in the joined texts
+    own = np.searchsorted(ends, where, side="right")
+    text, place = np.concatenate(shards)[own], where - (ends - lengths)[own]
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     size = np.diff(np.append(first, len(block)))
     when = key[text] + place

@@ -257,6 +257,24 @@ def test_merged_transform_is_the_transform():
         assert len(block) == sum(len(t) + 1 for t in texts)
 
 
+def test_undecided_suffixes_are_the_blocks_of_the_merge():
+    rng = random.Random(4)
+    for trial in range(60):
+        base = ["".join(rng.choices("ab" if trial % 2 else "abcdef", k=40)).encode() for _ in range(3)]
+        texts = [rng.choice(base)[rng.randint(0, 20) :] + b"z" * rng.randint(0, 2) for _ in range(rng.randint(1, 9))]
+        made = [repeats.transform(s)[1] for s in (texts[:4], texts[4:5], texts[5:]) if s]
+        for depth in (1, 2, 7, 25):
+            source, block = repeats.merge(made, depth)
+            begins = np.cumsum([0, *map(len, made)])
+            place = np.empty(len(source), np.int64)
+            for k in range(len(made)):
+                place[source == k] = np.arange(begins[k], begins[k + 1])
+            shared = np.bincount(block)[block] > 1
+            at, own = repeats.undecided(made, depth)
+            assert at.tolist() == place[shared].tolist()
+            assert np.array_equal(np.diff(own) > 0, np.diff(block[shared]) > 0)
+
+
 def test_repeated_intervals():
     rng = random.Random(3)
     for trial in range(60):
