@@ -17,7 +17,7 @@ from corpuskit.plans.lists import JOB_STATUS_SQL, ROUNDS_SQL, jobs
 from corpuskit.plans.registry import query
 from corpuskit.plans.scalars import SANITIZE_SQL
 from corpuskit.plans.web import CLEAN_SQL, SYNTHESIS_SQL, runs, saved_answers
-from corpuskit.sources import readers, sinks
+from corpuskit.sources import buckets, readers, sinks
 from corpuskit.streaming import jobs as J
 
 WS = M.SQL_WS
@@ -122,18 +122,17 @@ TYPE_SQL = "CASE lang WHEN 'de' THEN 'rule' WHEN 'fr' THEN 'case' ELSE 'knowledg
 COLLECTION_SQL = "CASE lang WHEN 'de' THEN 'rules' WHEN 'fr' THEN 'cases' ELSE 'knowledge' END"
 
 
-@query(
-    "upsert_chunks",
-    f"""
+UPSERT_SQL = f"""
     WITH old AS (SELECT doc_id AS chunk_id, text AS content, {TYPE_SQL} AS doc_type, {COLLECTION_SQL} AS collection,
                         -1 AS batch FROM documents),
     new AS (SELECT doc_id * 2 AS chunk_id, 'v' || b || ' ' || text AS content, CASE b WHEN 1 THEN 'note' ELSE 'rule' END
               AS doc_type, CASE b WHEN 1 THEN 'knowledge' ELSE 'rules' END AS collection, b AS batch
             FROM documents, range(2) AS t(b) WHERE b = 0 OR doc_id % 3 = 0)
     SELECT chunk_id, content, doc_type, collection FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id
-      ORDER BY batch DESC) AS r FROM (SELECT * FROM old UNION ALL SELECT * FROM new)) WHERE r = 1""",
-)
-def upsert_chunks(spark, sf):
+      ORDER BY batch DESC) AS r FROM (SELECT * FROM old UNION ALL SELECT * FROM new)) WHERE r = 1"""
+
+
+def incoming_chunks(spark, sf):
     docs = M.table(spark, sf, "documents")
 
     def batch(rows, number, doc_type):
@@ -144,11 +143,35 @@ def upsert_chunks(spark, sf):
             F.lit(number).alias("batch"),
         )
 
-    incoming = batch(docs, 0, "rule").unionByName(batch(docs.filter("doc_id % 3 = 0"), 1, "note"))
-    merged = sinks.upsert_chunks(stored_chunks(spark, sf), incoming)
+    return batch(docs, 0, "rule").unionByName(batch(docs.filter("doc_id % 3 = 0"), 1, "note"))
+
+
+@query("upsert_chunks", UPSERT_SQL)
+def upsert_chunks(spark, sf):
+    merged = sinks.upsert_chunks(stored_chunks(spark, sf), incoming_chunks(spark, sf))
     return merged.select("chunk_id", "content", "doc_type", "collection")
 
 
+@query("upsert_buckets", UPSERT_SQL)
+def upsert_buckets(spark, sf):
+    out = scratch(spark, "buckets")
+    buckets.write(stored_chunks(spark, sf), out, 16)
+    buckets.upsert(spark, out, incoming_chunks(spark, sf))
+    return buckets.read(spark, out).select("chunk_id", "content", "doc_type", "collection")
+
+
+@query(
+    "delete_buckets",
+    f"""SELECT doc_id AS chunk_id, {COLLECTION_SQL} AS collection, md5(text) AS content_md5 FROM documents
+        WHERE doc_id NOT IN (SELECT item_id FROM benchmark)""",
+)
+def delete_buckets(spark, sf):
+    out = scratch(spark, "buckets")
+    buckets.write(stored_chunks(spark, sf), out, 16)
+    buckets.delete(spark, out, M.table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id")))
+    return buckets.read(spark, out).select("chunk_id", "collection", F.md5("content").alias("content_md5"))
+
+
 @query(
     "write_chunks",
     f"SELECT {COLLECTION_SQL} AS collection, doc_id AS chunk_id, md5(text) AS content_md5 FROM documents",

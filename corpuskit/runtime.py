@@ -57,11 +57,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` wrote. Call it when their results are stored."""
-    jvm = spark.sparkContext._jvm
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
     while _tables:
-        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(configuration).delete(path, True)
+        delete_folder(spark, _tables.pop())
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if it does not exist. For folders whose entries do not grow with the data."""
+    at, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

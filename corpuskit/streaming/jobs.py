@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corpuskit import runtime
 from corpuskit.functions.text import content_hash
 from corpuskit.functions.urls import url_key
 from corpuskit.operators import chunking as K
@@ -82,7 +83,7 @@ def compact_ingested(spark: SparkSession, out: str) -> None:
     batches that it covers, so a compaction that dies half way changes nothing and can be run again. The newest batch
     stays where it is, so that a repetition of it replaces its own rows.
     """
-    batches = sorted(int(name.split("=")[1]) for name in _folders(spark, out) if name.startswith("batch="))
+    batches = sorted(int(name.split("=")[1]) for name in runtime.folder_names(spark, out) if name.startswith("batch="))
     if len(batches) < 2:
         return
     upto, before = batches[-2], _base(spark, out)
@@ -94,38 +95,21 @@ def compact_ingested(spark: SparkSession, out: str) -> None:
     kept = covered.join(last, ["page_id", "batch"], "left_semi").filter("chunk_index IS NOT NULL")
     kept.write.mode("overwrite").parquet(f"{out}-base/upto={upto}")
     for n in batches[:-1]:
-        _delete(spark, f"{out}/batch={n}")
-    for name in _folders(spark, f"{out}-base"):
+        runtime.delete_folder(spark, f"{out}/batch={n}")
+    for name in runtime.folder_names(spark, f"{out}-base"):
         if name != f"upto={upto}":
-            _delete(spark, f"{out}-base/{name}")
-
-
-def _path(spark: SparkSession, path: str):
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the entries of a folder, none if it does not exist. A row per micro-batch, not per data."""
-    at, fs = _path(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+            runtime.delete_folder(spark, f"{out}-base/{name}")
 
 
 def _base(spark: SparkSession, out: str) -> int | None:
     """Last batch that a complete compacted table covers."""
     done = []
-    for name in _folders(spark, f"{out}-base"):
-        at, fs = _path(spark, f"{out}-base/{name}/_SUCCESS")
-        if name.startswith("upto=") and fs.exists(at):
+    for name in runtime.folder_names(spark, f"{out}-base"):
+        if name.startswith("upto=") and "_SUCCESS" in runtime.folder_names(spark, f"{out}-base/{name}"):
             done.append(int(name.split("=")[1]))
     return max(done, default=None)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at, fs = _path(spark, path)
-    fs.delete(at, True)
-
-
 def stream_first_arrivals(
     rows: DataFrame, out: str, checkpoint: str, row_id: str, order: list[str], url: str = "url", text: str = "text"
 ) -> StreamingQuery:
