@@ -19,6 +19,9 @@ BLOCKED_NETWORKS = (
 )
 # -----------------------------------------------------------------------------
 
+# white space that ``strip`` removes and that ends no line
+BLANK = r"[ \t\f\x0B]"
+
 
 def url_fetchable(df: DataFrame, url: str = "url") -> DataFrame:
     """Add the reason why a URL cannot be fetched (empty = can be fetched)."""
@@ -109,41 +112,65 @@ def _glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit(r"(?s)\A(?:"), any_char, F.lit(r")\z"))
 
 
+# Parts over which the URLs of a host (or of one of its first segments) are spread; its wildcard rules are sent to each.
+SALTS = 16
+
+
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """Rules per host (in file order) of the agent's group, or of ``*`` when it has none."""
-    lines = robots.select("host", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "line"))
-    text = strip(F.substring_index("line", "#", 1))
-    field, value = F.lower(F.regexp_extract(text, r"(?i)^(user-agent|allow|disallow):", 1)), strip(
-        F.regexp_replace(text, "(?s)^[^:]*:", "")
-    )
-    parsed = lines.select("host", "pos", field.alias("field"), value.alias("value")).filter("field <> ''")
-    above = Window.partitionBy("host").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), ignorenulls=True).over(above)
-    parsed = parsed.withColumn("agent", F.coalesce(named, F.lit("*")))
-    pattern = F.regexp_replace("value", r"\$$", "")
-    is_rule = F.col("field") != "user-agent"
-    rule = F.struct(
-        "pos",
-        (F.col("field") == "allow").alias("allow"),
-        pattern.isin("", "/").alias("everything"),
-        _glob_regex(pattern).alias("regex"),
-    )
+    """Rules as rows: host, own, place, allow, pattern (no wildcard matches), kind and key under which URLs meet them.
+
+    ``robots``: host, body. Rules of the agent's own groups (``own``) outrank those of ``*``; an own group without a rule
+    that matches allows, so each group leaves a rule of its own below all others. Of equal patterns the last counts, the
+    only one that can decide. Several bodies of a host follow each other in the order of their md5. kind ``=``: a path,
+    matched by equality; ``/``: a pattern that fixes the first segment; ``*``: any other.
+    """
+    # a body is cut at its user-agent lines; what stands before the first belongs to "*"
+    cut = F.split(F.concat(F.lit("user-agent:*\n"), "body"), rf"(?i)(?:\A|\r\n|\r|\n){BLANK}*user-agent:")
+    groups = robots.select("host", F.md5("body").alias("_b"), F.posexplode(cut).alias("_g", "part")).filter("_g > 0")
+    first = F.substring_index(F.regexp_replace("part", r"\r", "\n"), "\n", 1)
+    named = F.lower(strip(F.substring_index(first, "#", 1))).alias("agent")
+    lines = groups.select("host", "_b", "_g", named, F.posexplode(F.split("part", r"\r\n|\r|\n")).alias("_i", "line"))
     wanted = agent.lower()
-    own = F.collect_list(F.when(is_rule & (F.col("agent") == wanted), rule))
-    default = F.collect_list(F.when(is_rule & (F.col("agent") == "*"), rule))
-    return parsed.groupBy("host").agg(
-        F.array_sort(F.when(F.bool_or(F.col("agent") == wanted), own).otherwise(default)).alias("rules")
-    )
+    lines = lines.filter(F.col("agent").isin(wanted, "*"))
+    text = strip(F.substring_index("line", "#", 1))
+    head = F.col("_i") == 0
+    field = F.lower(F.regexp_extract(text, r"(?i)^(allow|disallow):", 1))
+    value = F.regexp_replace(strip(F.regexp_replace(text, "(?s)^[^:]*:", "")), r"\$$", "")
+    parsed = lines.withColumns({"field": F.when(~head, field), "pattern": F.when(head, "").otherwise(value)})
+    own = F.col("agent") == wanted
+    # the first line of a group stands below all rules; the default group allows anyway
+    parsed = parsed.filter((head & own) | (F.col("field") != ""))
+    place = F.struct(~head, "_b", "_g", "_i", (head | (F.col("field") == "allow")).alias("allow"))
+    last = parsed.groupBy("host", own.alias("own"), "pattern", head.alias("_head")).agg(F.max(place).alias("place"))
+    pattern = F.col("pattern")
+    segment = F.regexp_extract(F.regexp_extract(pattern, r"^[^*?\[]*", 0), "^/[^/]*/", 0)
+    everything = pattern.isin("", "/")
+    kind = F.when(everything, "*").when(~pattern.rlike(r"[*?\[]"), "=").when(segment != "", "/").otherwise("*")
+    keyed = last.withColumns({"kind": kind, "regex": F.when(~everything, _glob_regex(pattern))})
+    key = F.when(F.col("kind") == "=", pattern).when(F.col("kind") == "/", segment).otherwise("")
+    return keyed.select("host", "own", "place", F.col("place.allow").alias("allow"), "pattern", "kind", key.alias("key"), "regex")
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
-    """Add ``allowed``: the last matching rule of the host decides, no rule allows."""
-    path = U.url_path(F.col(url))
-    hits = F.filter("rules", lambda r: r.everything | F.rlike(path, r.regex))
-    decided = F.try_element_at(F.transform(hits, lambda r: r.allow), F.lit(-1))
-    return (
-        urls.withColumn("host", U.url_host(F.col(url)))
-        .join(robots_rules(robots, agent), "host", "left")
-        .withColumn("allowed", F.coalesce(decided, F.lit(True)))
-        .drop("rules")
-    )
+    """Add ``host`` and ``allowed``: the last matching rule of the host decides, no rule allows.
+
+    Every path of a host is judged once, however often it occurs. It meets the rules that name it by equality, those of its
+    first segment, and the host's remaining wildcard rules; the last match is a partial maximum. A host that holds a third
+    of all rules and URLs is spread over its paths and segments, and over SALTS parts where rules have wildcards.
+    """
+    placed = urls.withColumns({"host": U.url_host(F.col(url)), "_path": F.coalesce(U.url_path(F.col(url)), F.lit(""))})
+    paths = placed.select("host", "_path").filter("host IS NOT NULL").distinct()
+    salt = F.pmod(F.xxhash64("_path"), F.lit(SALTS)).cast("int")
+    segment = F.regexp_extract("_path", "^/[^/]*/", 0)
+    none = F.lit(0)
+    keys = [("=", F.col("_path"), none), ("/", segment, salt), ("*", F.lit(""), salt)]
+    met = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key"), s.alias("salt")) for k, v, s in keys]))
+    asked = paths.select("host", "_path", met.alias("k")).select("host", "_path", "k.*").filter("key <> '' OR kind = '*'")
+    salts = F.when(F.col("kind") == "=", F.array(none)).otherwise(F.sequence(none, F.lit(SALTS - 1)))
+    rules = robots_rules(robots, agent).withColumn("salt", F.explode(salts))
+    matches = (F.col("kind") == "=") | F.col("regex").isNull() | F.rlike("_path", "regex")
+    hits = asked.join(rules, ["host", "kind", "key", "salt"]).filter(matches)
+    decided = hits.groupBy("host", "_path").agg(F.max_by("allow", F.struct("own", "place")).alias("_allow"))
+    own = [c for c in urls.columns if c != "host"]
+    found = placed.join(decided, ["host", "_path"], "left")
+    return found.select("host", *own, F.coalesce("_allow", F.lit(True)).alias("allowed"))

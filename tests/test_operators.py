@@ -1,6 +1,8 @@
 """Operators on small tables: golden cases, brute-force checks, and the paths for large groups."""
 
+import fnmatch
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +197,50 @@ def test_robots(spark):
     assert rows(kit, "allowed") == [(False,)]
 
 
+def _robots_by_hand(body, agent, path):
+    """The last matching rule of the agent's group, of ``*`` without one."""
+    named, groups = "*", {}
+    for line in re.split(r"\r\n|\r|\n", body):
+        field, colon, value = line.split("#")[0].strip().partition(":")
+        field, value = field.lower() if colon else "", value.strip()
+        if field == "user-agent":
+            named = value.lower()
+            groups.setdefault(named, [])
+        elif field in ("allow", "disallow"):
+            groups.setdefault(named, []).append((field == "allow", value.removesuffix("$")))
+    allowed = True
+    for allow, pattern in groups.get(agent, groups.get("*", [])):
+        if pattern in ("", "/") or fnmatch.fnmatchcase(path, pattern):
+            allowed = allow
+    return allowed
+
+
+@pytest.mark.parametrize("agent", ["*", "Kit"])
+def test_robots_by_hand(spark, agent):
+    """Random files, with one host that holds most rules and URLs; no key of the join is much larger than a part of it."""
+    rng = random.Random(6)
+    names = ["/", "/a", "/a/", "/a/b", "/a/*", "/a/b*", "/*b", "/b/?", "/b/[ab]c", "", "/a/b$", "*", "/c/d/*.html", "/x*/y"]
+    ends = ["\n", "\r\n", "\r", " # note\n"]
+
+    def body(n):
+        lines = ["Sitemap: http://x/", " \tUSER-agent: *" if rng.random() < 0.7 else "Allow: /a"]
+        for _ in range(n):
+            rule = rng.choice(["Allow: ", "disallow:", "  Disallow :", "Disallow: "]) + rng.choice(names)
+            lines.append(rule if rng.random() < 0.8 else rng.choice(["User-Agent: kit", "user-agent:*", "User-agent: other", "# user-agent: kit"]))
+        return "".join(x + rng.choice(ends) for x in lines)
+
+    bodies = {f"h{i}.com": body(rng.randint(0, 12)) for i in range(40)} | {"empty.com": "", "hot.com": body(300)}
+    paths = ["/", "/a", "/a/", "/a/b", "/a/bc", "/b/a", "/b/ac", "/b/zc", "/c/d/e.html", "/xx/y", "/nothing"]
+    urls = [(f"http://{h}{p}", h, p) for h in [*bodies, "none.com"] for p in paths] * 2
+    urls += [(f"http://hot.com/s{i}/{i}", "hot.com", f"/s{i}/{i}") for i in range(500)] + [(None, None, "")]
+    robots = spark.createDataFrame(list(bodies.items()) + [("null.com", None)], "host string, body string")
+    df = spark.createDataFrame([(u, "clash") for u, _, _ in urls], "url string, pattern string")
+    want = sorted((u or "", _robots_by_hand(bodies.get(h, ""), agent.lower(), p)) for u, h, p in urls)
+    got = network.robots_filter(df, robots, agent)
+    assert got.columns == ["host", "url", "pattern", "allowed"]
+    assert sorted((r.url or "", r.allowed) for r in got.collect()) == want
+
+
 def test_blocked_addresses(spark):
     ips = ["10.1.2.3", "8.8.8.8", "169.254.169.254", "::1", "fd00::1", "fe80::5:1", "2001:db8::1", "172.32.0.1"]
     df = spark.createDataFrame([(i,) for i in ips], "ip string")
