@@ -447,3 +447,13 @@ def stream_short_term_memory(spark, sf):
 def stream_conversation_rounds(spark, sf):
     J.use_rocksdb(spark)
     return _finish(spark, J.stream_conversation_rounds(_stream_messages(spark, sf)), "rounds")
+
+
+@query(
+    "stream_rounds",
+    M.with_sql("messages", ROUNDS_SQL + "SELECT session_id, user_message_id, message_id, text FROM rounds"),
+)
+def stream_rounds(spark, sf):
+    out = scratch(spark, "open-rounds")
+    J.stream_rounds(_stream_messages(spark, sf), f"{out}/rounds", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rounds").drop("batch")

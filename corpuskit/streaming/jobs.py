@@ -264,6 +264,58 @@ def stream_conversation_rounds(messages: DataFrame, pending_ttl_ms: int | None =
     )
 
 
+_OPEN = "session_id long, created_at long, message_id long, role string, content string"
+
+
+def stream_rounds(
+    messages: DataFrame, out: str, checkpoint: str, ttl: float | None = None, group_limit: int = runtime.GROUP_ROW_LIMIT
+) -> StreamingQuery:
+    """Store the rounds that assistant messages close, one folder per micro-batch; a repeated one replaces its own.
+
+    The rounds of ``stream_conversation_rounds`` without a session in one task: messages are paired with the one before
+    them by ``runtime.with_previous``, which spreads a session with more than ``group_limit`` messages by range. The
+    question that a session leaves open goes to ``out-open`` and comes before the next batch's messages. With ``ttl``
+    (seconds of event time) an open question is dropped at the end of the first batch whose messages, or earlier ones, are
+    more than that later; that bounds the open questions and works with any trigger. Messages without a session are left out.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark, opened = batch.sparkSession, f"{out}-open"
+        new = _flat(batch.filter(F.col("role").isin("user", "assistant") & F.col("session_id").isNotNull()))
+        talk = new.withColumn("session_id", F.col("session_id").cast("long")).withColumn("_new", F.lit(True))
+        clock = None
+        if batch_id:
+            before = spark.read.schema(_OPEN).parquet(f"{opened}/batch={batch_id - 1}")
+            # the row without a session holds the newest time seen
+            clock = before.filter("session_id IS NULL").agg(F.max("created_at")).first()[0]
+            talk = talk.unionByName(before.filter("session_id IS NOT NULL").withColumn("_new", F.lit(False)))
+        talk = talk.persist()
+        newest = talk.agg(F.max("created_at")).first()[0]
+        clock = max((t for t in (clock, newest) if t is not None), default=None)
+        order = [F.asc("_new"), F.asc("created_at"), F.asc("message_id")]
+        paired = runtime.with_previous(talk, ["session_id"], order, ["message_id", "role", "content"], group_limit)
+        closes = (F.col("role") == "assistant") & (F.col("prev_role") == "user") & (F.col("prev_content") != "")
+        rounds = paired.filter(closes).select(
+            "session_id",
+            F.col("prev_message_id").alias("user_message_id"),
+            "message_id",
+            round_text(F.col("prev_content"), F.col("content")).alias("text"),
+        )
+        rounds.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = F.max_by(F.struct("created_at", "message_id", "role", "content"), F.struct("_new", "created_at", "message_id"))
+        left = talk.groupBy("session_id").agg(last.alias("m")).select("session_id", "m.*").filter("role = 'user'")
+        if ttl is not None and clock is not None:
+            left = left.filter(F.col("created_at") >= clock - int(ttl * 1_000_000))
+        seen = spark.createDataFrame([(None, clock, None, None, None)], _OPEN)
+        left.unionByName(seen).write.mode("overwrite").parquet(f"{opened}/batch={batch_id}")
+        talk.unpersist()
+        # only the batch before is needed, should this one be repeated
+        runtime.delete_folder(spark, f"{opened}/batch={batch_id - 2}")
+
+    writer = messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is available, one Parquet folder per micro-batch."""
 

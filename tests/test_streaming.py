@@ -1,5 +1,8 @@
 """Streams fed in several micro-batches give what the batch operators give."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import conversations
@@ -34,6 +37,64 @@ def test_rounds_over_batches(spark, tmp_path):
     assert found.select("batch").distinct().count() > 1
 
 
+MESSAGE = "session_id long, message_id long, created_at long, role string, content string"
+
+
+def rounds_by_hand(parts, ttl=None):
+    """Rounds of messages that arrive in parts, session by session, one message after the other."""
+    pending, found, clock = {}, [], None
+    for part in parts:
+        times = [m[2] for m in part if m[0] is not None and m[3] in ("user", "assistant")]
+        clock = max([t for t in [clock, *times] if t is not None], default=None)
+        for session, number, at, role, text in sorted(part, key=lambda m: (m[2], m[1])):
+            if role == "user":
+                pending[session] = (number, text, at)
+            elif role == "assistant":
+                asked = pending.pop(session, None)
+                if session is not None and asked and asked[1]:
+                    found.append((session, asked[0], number))
+        if ttl is not None and clock is not None:
+            pending = {k: q for k, q in pending.items() if q[2] >= clock - ttl}
+    return sorted(found)
+
+
+@pytest.mark.parametrize("group_limit, ttl", [(1000, None), (5, None), (5, 20)])
+def test_rounds_without_a_session_in_one_task(spark, tmp_path, group_limit, ttl):
+    """One session holds a third of all messages; some come late, some lack a session, a text or an answer."""
+    rng = random.Random(8)
+    parts = []
+    for n in range(4):
+        part = []
+        for k in range(60):
+            session = rng.choice([1, 1, 1, 2, 3, 4, 5, 6, None])
+            role = rng.choice(["user", "user", "assistant", "assistant", "system"])
+            part.append((session, n * 100 + k, n * 30 + rng.randint(-10, 25), role, rng.choice(["some text", "", None])))
+        parts.append(part)
+    parts.insert(2, [(9, 900, 0, "system", "no talk")])
+    frames = [spark.createDataFrame(p, MESSAGE).withColumn("created_at", F.timestamp_seconds("created_at")) for p in parts]
+    stream = feed(spark, frames, tmp_path / "in")
+    J.stream_rounds(stream, str(tmp_path / "out"), str(tmp_path / "state"), ttl, group_limit).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    want = rounds_by_hand(parts, ttl)
+    assert sorted((r.session_id, r.user_message_id, r.message_id) for r in found.collect()) == want and len(want) > 10
+    assert len(list((tmp_path / "out-open").iterdir())) == 2
+
+
+def test_an_open_question_expires(spark, tmp_path):
+    """The answer to a question comes in time, later than that, and after a batch that moved the clock."""
+    day = 86_400
+    parts = [
+        [(1, 1, 0, "user", "a"), (2, 2, 0, "user", "b")],
+        [(1, 3, day, "assistant", "in time"), (3, 4, 9 * day, "user", "c")],
+        [(2, 5, 9 * day, "assistant", "too late"), (3, 6, 10 * day, "assistant", "in time")],
+    ]
+    frames = [spark.createDataFrame(p, MESSAGE).withColumn("created_at", F.timestamp_seconds("created_at")) for p in parts]
+    stream = feed(spark, frames, tmp_path / "in")
+    J.stream_rounds(stream, str(tmp_path / "out"), str(tmp_path / "state"), 7 * day).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.user_message_id, r.message_id) for r in found) == [(1, 3), (4, 6)] == [r[1:] for r in rounds_by_hand(parts, 7 * day)]
+
+
 def test_short_term_memory_over_batches(spark, tmp_path):
     J.use_rocksdb(spark)
     messages = M.messages(spark, SF)
