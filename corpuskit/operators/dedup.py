@@ -87,6 +87,12 @@ def _is_first_equal(masks: Column, a: Column, b: Column, at: Column) -> Column:
     return F.array_position(agree, True) == at + 1
 
 
+def block_keys(fingerprints: DataFrame, simhash: str = "fp") -> DataFrame:
+    """(fp, at, key): fingerprints within distance 3 share at least one (at, key)."""
+    masked = fingerprints.select(F.col(simhash).alias("fp"), F.posexplode(_masks(_MASKS)).alias("at", "mask"))
+    return masked.select("fp", "at", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
 def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: int = HOT_KEY) -> DataFrame:
     """Pairs of different fingerprints within Hamming distance 3: (a, b, distance) with a < b.
 
@@ -94,11 +100,7 @@ def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: in
     43,744 others within distance 3, which bounds the pairs. Each pair comes out once.
     """
     fps = runtime.materialize(fingerprints.select(F.col(simhash).alias("fp")).distinct())
-    masks = _masks(_MASKS)
-    keyed = fps.select("fp", F.posexplode(masks).alias("at", "mask")).select(
-        "fp", "at", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    )
-
+    masks, keyed = _masks(_MASKS), block_keys(fps)
     a, b = F.col("a"), F.col("b")
     is_near = (a < b) & (hamming(a, b) <= MAX_DISTANCE)
     sizes = keyed.groupBy("at", "key").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from corpuskit.operators import documents as D
 from corpuskit.operators import retrieval as R
 from corpuskit.plans import model as M
 from corpuskit.plans.corpus import sql_chunks
-from corpuskit.plans.duplicates import ARRIVALS_SQL
+from corpuskit.plans.duplicates import ARRIVALS_SQL, sql_greedy, sql_simhash
 from corpuskit.plans.lists import JOB_STATUS_SQL, ROUNDS_SQL, jobs
 from corpuskit.plans.registry import query
 from corpuskit.plans.scalars import SANITIZE_SQL
@@ -415,6 +415,20 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(
+    "stream_near_arrivals",
+    f"""WITH RECURSIVE written AS (SELECT doc_id, text FROM documents WHERE text <> ''), {sql_simhash('written', 'doc_id', 'text')},
+    ordered AS MATERIALIZED (SELECT doc_id, simhash, row_number() OVER (ORDER BY doc_id) AS i FROM prints),
+    {sql_greedy('ordered', 'doc_id')}
+    SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE coalesce(text, '') = '' OR doc_id IN (SELECT doc_id FROM near)""",
+)
+def stream_near_arrivals(spark, sf):
+    out = scratch(spark, "near")
+    rows = _stream(spark, sf, "documents").select("doc_id", "text")
+    J.stream_near_arrivals(rows, f"{out}/kept", f"{out}/state", "doc_id", ["doc_id"], parts=16).awaitTermination()
+    return spark.read.parquet(f"{out}/kept").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _stream_messages(spark, sf):
     raw = _stream(spark, sf, "conversations")
     return raw.select(

@@ -17,8 +17,9 @@ from corpuskit.functions.text import content_hash
 from corpuskit.functions.urls import url_key
 from corpuskit.operators import chunking as K
 from corpuskit.operators.conversations import round_text
-from corpuskit.operators.dedup import first_per_key
+from corpuskit.operators.dedup import block_keys, dedup_simhash_greedy, first_per_key
 from corpuskit.operators.documents import chunk_text
+from corpuskit.operators.embedding import simhash_column
 from corpuskit.operators.pages import normalize_pages, quality_gate
 
 # The process that sets up a stateful operator does not get shipped packages: send the code itself.
@@ -26,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PENDING_TTL_MS = 7 * 24 * 3600 * 1000
+# Folders of the stored block keys of fingerprints.
+KEY_PARTS = 256
 
 
 def ingest_pages(pages: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
@@ -145,6 +148,77 @@ def stream_first_arrivals(
     return writer.trigger(availableNow=True).start()
 
 
+def stream_near_arrivals(
+    rows: DataFrame, out: str, checkpoint: str, row_id: str, order: list[str], text: str = "text", parts: int = KEY_PARTS
+) -> StreamingQuery:
+    """Store the rows that ``dedup_simhash_greedy`` keeps when micro-batches arrive one after the other.
+
+    A row is dropped when its text's fingerprint is within distance 3 of an earlier kept row's. The fingerprints that were
+    kept are stored under their block keys, in ``parts`` folders by the key's hash; a batch reads the folders of its own
+    keys and takes from them the fingerprints that share a key with one of its own. These come first in the greedy pass
+    over the batch, so a key that many texts share costs no more than there. A repeated micro-batch replaces its own
+    folders. Rows without text are kept and leave no key behind; ids are distinct and not null.
+    ``compact_near_keys`` keeps the number of folders small.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        keys, spark = f"{out}-keys", batch.sparkSession
+        printed = F.when(F.col(text) != "", simhash_column(F.col(text)))
+        keyed = batch.withColumn("_fp", printed).persist()
+        new = keyed.filter("_fp IS NOT NULL").select(row_id, *[c for c in order if c != row_id], "_fp")
+        part = F.pmod(F.xxhash64("at", "key"), F.lit(parts)).cast("int").alias("part")
+        ranked = new.withColumn("_new", F.lit(True))
+        if batch_id:
+            asked = block_keys(new.select("_fp").distinct(), "_fp").select("at", "key", part).distinct().persist()
+            numbers = [r.part for r in asked.select("part").distinct().collect()]  # at most ``parts``
+            stored = _near_keys(spark, keys, batch_id).filter(F.col("part").isin(numbers))
+            met = stored.join(asked.drop("part"), ["at", "key"], "left_semi").select(F.col("fp").alias("_fp")).distinct()
+            ranked = ranked.unionByName(met.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        kept = runtime.materialize(dedup_simhash_greedy(ranked, row_id, ["_new", *order], "_fp").filter("_new").select(row_id, "_fp"))
+        block_keys(kept.select("_fp").distinct(), "_fp").withColumn("part", part).repartition("part").write.mode(
+            "overwrite"
+        ).partitionBy("part").parquet(f"{keys}/batch={batch_id}")
+        left = keyed.join(kept.select(row_id), row_id, "left_semi").unionByName(keyed.filter("_fp IS NULL"))
+        left.drop("_fp").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        keyed.unpersist()
+
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+_NEAR_KEYS = "fp long, at int, key long, batch long, part int"
+
+
+def _near_keys(spark: SparkSession, keys: str, until: int) -> DataFrame:
+    """Stored keys of the batches before ``until``; the part is a folder."""
+    stored, base = spark.read.schema(_NEAR_KEYS).parquet(keys), _base(spark, keys)
+    if base is None:
+        return stored.filter(F.col("batch") < until)
+    merged = spark.read.schema("fp long, at int, key long, part int").parquet(f"{keys}-base/upto={base}")
+    newer = stored.filter((F.col("batch") < until) & (F.col("batch") > base))
+    return newer.drop("batch").unionByName(merged)
+
+
+def compact_near_keys(spark: SparkSession, out: str) -> None:
+    """Rewrite the stored keys of all batches but the newest as one folder per part. Run it between two runs of the stream.
+
+    The new table counts only once it is complete; readers skip the batches that it covers.
+    """
+    keys = f"{out}-keys"
+    batches = sorted(int(name.split("=")[1]) for name in runtime.folder_names(spark, keys) if name.startswith("batch="))
+    if len(batches) < 2:
+        return
+    upto = batches[-2]
+    if upto != _base(spark, keys):
+        covered = _near_keys(spark, keys, upto + 1).select("fp", "at", "key", "part")
+        covered.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{keys}-base/upto={upto}")
+    for n in batches[:-1]:
+        runtime.delete_folder(spark, f"{keys}/batch={n}")
+    for name in runtime.folder_names(spark, f"{keys}-base"):
+        if name != f"upto={upto}":
+            runtime.delete_folder(spark, f"{keys}-base/{name}")
+
+
 def stream_dedup(
     rows: DataFrame,
     row_id: str,

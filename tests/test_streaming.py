@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import conversations
-from corpuskit.operators.dedup import dedup_exact
+from corpuskit.operators.dedup import dedup_exact, dedup_simhash_greedy
+from corpuskit.operators.embedding import simhash_column
 from corpuskit.plans import model as M
 from corpuskit.streaming import jobs as J
 
@@ -116,6 +117,33 @@ def test_dedup_over_batches(spark, tmp_path):
     assert sorted(r.id for r in found.collect()) == sorted(r.id for r in expected.collect()) == [1, 4, 5, 6]
 
 
+def test_near_arrivals_over_batches(spark, tmp_path):
+    """Chains of near texts over several batches, with a compaction and empty texts in between."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(150)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        text = base[i % 6]
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(150)] = rng.choice(words)
+        texts.append((i, " ".join(text) if i % 13 else rng.choice(["", None]), "extra"))
+    schema = "id long, text string, _extra string"
+    parts = [spark.createDataFrame(texts[i : i + 15], schema) for i in range(0, 60, 15)]
+    out = str(tmp_path / "out")
+    for n in range(4):
+        stream = feed(spark, parts[n : n + 1], tmp_path / "in")
+        J.stream_near_arrivals(stream, out, str(tmp_path / "state"), "id", ["id"], parts=8).awaitTermination()
+        if n == 2:
+            J.compact_near_keys(spark, out)
+    found = spark.read.parquet(out)
+    df = spark.createDataFrame(texts, schema)
+    printed = df.filter("text <> ''").withColumn("simhash", simhash_column(F.col("text")))
+    kept = {r.id for r in dedup_simhash_greedy(printed, "id", ["id"]).collect()}
+    assert {r.id for r in found.collect()} == kept | {i for i, t, _ in texts if not t}
+    assert 6 < len(kept) < 50 and found.columns == ["id", "text", "_extra", "batch"]
+
+
 def page(i, words):
     return (i, f"http://h/{i}", f"<html><head><title>t</title></head><body><article><p>{'word ' * words}</p></article></body></html>")
 
