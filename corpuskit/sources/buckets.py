@@ -8,8 +8,6 @@ driver that dies in between loses nothing. One writer at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +23,10 @@ def bucket_of(chunk_id: Column, buckets: int) -> Column:
 
 
 def write(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Store chunks with distinct, non-null ids; what the folder held before is replaced."""
+    """Store chunks with distinct, non-null ids, at least one; what the folder held before is replaced.
+
+    The store takes its columns from its files: it cannot start without a chunk, nor be read once all are deleted.
+    """
     spark = chunks.sparkSession
     runtime.delete_folder(spark, f"{path}-change")
     placed = chunks.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col("chunk_id"), buckets)})
@@ -46,10 +47,6 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     the store lacks are an error; rows without an id are left out, as nothing could replace them.
     """
 
-    def with_new(stored: DataFrame, new: DataFrame) -> DataFrame:
-        kept = stored.join(new.select("chunk_id"), "chunk_id", "left_anti").select(stored.columns)
-        return kept.unionByName(new)
-
     _apply(spark, path)
     stored = spark.read.parquet(path)
     routed = incoming.withColumn("collection", collection_of(F.col("doc_type")))
@@ -60,32 +57,30 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     row = F.struct(*[(F.col(f.name) if f.name in routed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own])
     id_type = stored.schema["chunk_id"].dataType
     rows = routed.select(F.col("chunk_id").cast(id_type).alias("chunk_id"), "batch", row.alias("r")).filter("chunk_id IS NOT NULL")
-    last = rows.groupBy("chunk_id").agg(F.max_by("r", F.struct("batch", "r")).alias("r"))
-    return _change(spark, path, last.select("chunk_id", *[F.col(f"r.{f.name}") for f in own]), with_new)
+    last = rows.groupBy("chunk_id").agg(F.max(F.struct("batch", "r")).alias("m"))
+    return _change(spark, path, rows.select("chunk_id"), last.select("chunk_id", *[F.col(f"m.r.{f.name}") for f in own]))
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Remove chunks by id, and return the number of buckets rewritten. Ids that are not stored change no bucket."""
-
-    def without(stored: DataFrame, gone: DataFrame) -> DataFrame:
-        return stored.join(gone.select("chunk_id"), "chunk_id", "left_anti").select(stored.columns)
-
     _apply(spark, path)
     stored = spark.read.parquet(path).select("chunk_id")
     wanted = ids.select(F.col("chunk_id").cast(stored.schema["chunk_id"].dataType).alias("chunk_id"))
-    return _change(spark, path, stored.join(wanted, "chunk_id", "left_semi"), without)
+    return _change(spark, path, stored.join(wanted, "chunk_id", "left_semi"), None)
 
 
-def _change(spark: SparkSession, path: str, rows: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-    """Write ``make(rows of the touched buckets, changing rows)`` aside, then apply it."""
+def _change(spark: SparkSession, path: str, ids: DataFrame, new: DataFrame | None) -> int:
+    """Write the touched buckets aside, without the ids and with the new rows, then apply them. The ids are read twice."""
     number = _buckets(spark, path)
-    placed = rows.withColumns({"of": F.lit(number), "bucket": bucket_of(F.col("chunk_id"), number)})
-    changing = runtime.materialize(placed)
-    touched = changing.select("bucket").distinct()
+    place = {"of": F.lit(number), "bucket": bucket_of(F.col("chunk_id"), number)}
+    touched = runtime.materialize(ids.withColumns(place).select("bucket").distinct())
     numbers = [r.bucket for r in touched.collect()]  # at most the number of buckets
     if numbers:
         stored = spark.read.parquet(path).filter(F.col("bucket").isin(numbers))
-        make(stored, changing).write.mode("overwrite").parquet(f"{path}-change/rows")
+        rows = stored.join(ids.distinct(), "chunk_id", "left_anti").select(stored.columns)
+        if new is not None:
+            rows = rows.unionByName(new.withColumns(place))
+        _store(rows, f"{path}-change/rows", "static")
         touched.coalesce(1).write.mode("overwrite").parquet(f"{path}-change/touched")
         _apply(spark, path)
     return len(numbers)
@@ -95,9 +90,11 @@ def _apply(spark: SparkSession, path: str) -> None:
     """Apply the change that is written aside, if it is complete."""
     if "_SUCCESS" not in runtime.folder_names(spark, f"{path}-change/touched"):
         return
-    rows = spark.read.parquet(f"{path}-change/rows")
     number = _buckets(spark, path)
-    _store(rows, path, "dynamic")
+    stored = spark.read.parquet(path).schema
+    rows = spark.read.schema(stored).parquet(f"{path}-change/rows")
+    # the rows lie in buckets already and are not shuffled again
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "bucket").parquet(path)
     # an overwrite leaves alone the buckets for which it has no rows
     filled = rows.select("bucket").distinct()
     for r in spark.read.parquet(f"{path}-change/touched").join(filled, "bucket", "left_anti").collect():
@@ -111,6 +108,6 @@ def _buckets(spark: SparkSession, path: str) -> int:
 
 
 def _store(rows: DataFrame, path: str, mode: str) -> None:
-    # a bucket is one task's work, so it is one file; AQE would join small buckets in a task, which changes nothing
+    # a bucket is one task's work, so it is one file
     placed = rows.repartition("of", "bucket")
     placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("of", "bucket").parquet(path)
