@@ -376,7 +376,8 @@ def udtf_sections(spark, sf):
 
 def _stream(spark, sf, name):
     schema = M.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern, since the table may be a file or a folder
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _finish(spark, stream, name, mode="append"):
