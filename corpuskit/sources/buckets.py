@@ -16,6 +16,8 @@ from corpuskit.operators.retrieval import collection_of
 
 # Choose so many that a bucket holds some 100 MB: it is written by one task. Only bucket numbers come to the driver.
 BUCKETS = 256
+# Rows of one id that an upsert takes to its bucket uncombined.
+REPEATS = 1_000
 
 
 def bucket_of(chunk_id: Column, buckets: int) -> Column:
@@ -30,7 +32,8 @@ def write(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     spark = chunks.sparkSession
     runtime.delete_folder(spark, f"{path}-change")
     placed = chunks.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col("chunk_id"), buckets)})
-    _store(placed, path, "static")
+    # a bucket is one task's work, so it is one file
+    _store(placed.repartition("of", "bucket"), path, "static")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -56,34 +59,56 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     own = [f for f in stored.schema if f.name not in ("chunk_id", "of", "bucket")]
     row = F.struct(*[(F.col(f.name) if f.name in routed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own])
     id_type = stored.schema["chunk_id"].dataType
-    rows = routed.select(F.col("chunk_id").cast(id_type).alias("chunk_id"), "batch", row.alias("r")).filter("chunk_id IS NOT NULL")
-    last = rows.groupBy("chunk_id").agg(F.max(F.struct("batch", "r")).alias("m"))
-    return _change(spark, path, rows.select("chunk_id"), last.select("chunk_id", *[F.col(f"m.r.{f.name}") for f in own]))
+    rows = routed.select(F.col("chunk_id").cast(id_type).alias("chunk_id"), "batch", row.alias("r"))
+    return _change(spark, path, rows.filter("chunk_id IS NOT NULL"))
 
 
 def delete(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Remove chunks by id, and return the number of buckets rewritten. Ids that are not stored change no bucket."""
     _apply(spark, path)
-    stored = spark.read.parquet(path).select("chunk_id")
-    wanted = ids.select(F.col("chunk_id").cast(stored.schema["chunk_id"].dataType).alias("chunk_id"))
-    return _change(spark, path, stored.join(wanted, "chunk_id", "left_semi"), None)
+    stored = spark.read.parquet(path)
+    wanted = ids.select(F.col("chunk_id").cast(stored.schema["chunk_id"].dataType).alias("chunk_id")).distinct()
+    nothing = F.lit(None).cast(_row(stored).schema["r"].dataType)
+    gone = stored.select("chunk_id").join(wanted, "chunk_id", "left_semi")
+    return _change(spark, path, gone.select("chunk_id", F.lit(0).alias("batch"), nothing.alias("r")))
+
+
+def _row(stored: DataFrame) -> DataFrame:
+    """Stored chunks as id, bucket and the struct of all other columns."""
+    return stored.select("chunk_id", "bucket", F.struct(*_own(stored)).alias("r"))
+
 
+def _own(stored: DataFrame) -> list[str]:
+    return [c for c in stored.columns if c not in ("chunk_id", "of", "bucket")]
 
-def _change(spark: SparkSession, path: str, ids: DataFrame, new: DataFrame | None) -> int:
-    """Write the touched buckets aside, without the ids and with the new rows, then apply them. The ids are read twice."""
+
+def _change(spark: SparkSession, path: str, new: DataFrame, repeats: int = REPEATS) -> int:
+    """Write the touched buckets aside with the new rows (chunk_id, batch, r), then apply them.
+
+    A row whose ``r`` is null removes its id. Stored and new rows meet in one shuffle by bucket, where a new row beats the
+    stored one; ids with more than ``repeats`` new rows are combined before. The ids are read twice.
+    """
     number = _buckets(spark, path)
-    place = {"of": F.lit(number), "bucket": bucket_of(F.col("chunk_id"), number)}
-    touched = runtime.materialize(ids.withColumns(place).select("bucket").distinct())
-    numbers = [r.bucket for r in touched.collect()]  # at most the number of buckets
-    if numbers:
-        stored = spark.read.parquet(path).filter(F.col("bucket").isin(numbers))
-        rows = stored.join(ids.distinct(), "chunk_id", "left_anti").select(stored.columns)
-        if new is not None:
-            rows = rows.unionByName(new.withColumns(place))
-        _store(rows, f"{path}-change/rows", "static")
-        touched.coalesce(1).write.mode("overwrite").parquet(f"{path}-change/touched")
+    new = new.withColumn("bucket", bucket_of(F.col("chunk_id"), number))
+    ids = new.groupBy("bucket", "chunk_id").count()
+    touched = runtime.materialize(ids.groupBy("bucket").agg(F.max("count").alias("most")))
+    found = touched.collect()  # at most the number of buckets
+    if found:
+        if max(r.most for r in found) > repeats:
+            new = new.groupBy("bucket", "chunk_id").agg(F.max(F.struct("batch", "r")).alias("m"))
+            new = new.select("bucket", "chunk_id", "m.batch", "m.r")
+        stored = spark.read.parquet(path)
+        kept = _row(stored.filter(F.col("bucket").isin([r.bucket for r in found])))
+        kept = kept.withColumn("batch", F.lit(None).cast(new.schema["batch"].dataType))
+        # null (stored) is smaller than true (new)
+        both = kept.withColumn("new", F.lit(None).cast("boolean")).unionByName(new.withColumn("new", F.lit(True)))
+        last = both.repartition("bucket").groupBy("bucket", "chunk_id").agg(F.max(F.struct("new", "batch", "r")).alias("m"))
+        own = [F.col(f"m.r.`{c}`") for c in _own(stored)]
+        rows = last.filter("m.r IS NOT NULL").select("chunk_id", *own, F.lit(number).alias("of"), "bucket")
+        _store(rows.select(stored.columns), f"{path}-change/rows", "static")
+        touched.select("bucket").coalesce(1).write.mode("overwrite").parquet(f"{path}-change/touched")
         _apply(spark, path)
-    return len(numbers)
+    return len(found)
 
 
 def _apply(spark: SparkSession, path: str) -> None:
@@ -107,7 +132,6 @@ def _buckets(spark: SparkSession, path: str) -> int:
     return next(int(name[3:]) for name in runtime.folder_names(spark, path) if name.startswith("of="))
 
 
-def _store(rows: DataFrame, path: str, mode: str) -> None:
-    # a bucket is one task's work, so it is one file
-    placed = rows.repartition("of", "bucket")
-    placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("of", "bucket").parquet(path)
+def _store(placed: DataFrame, path: str, mode: str) -> None:
+    with runtime.shuffles_deleted(placed.sparkSession):
+        placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("of", "bucket").parquet(path)

@@ -106,3 +106,12 @@ def test_columns(spark, store):
     assert rows(buckets.read(spark, path)) == want | {1: (None, "note", "knowledge")}
     with pytest.raises(ValueError, match="bucket_name"):
         buckets.upsert(spark, path, few.withColumn("bucket_name", F.lit(1)))
+
+
+def test_an_id_with_many_rows(spark, store):
+    path, want = store
+    many = buckets.REPEATS + 500
+    new = [(5, f"v{k:05}", "rule", k % 7) for k in range(many)] + [(6, "six", "case", 0)]
+    last = max((k % 7, f"v{k:05}") for k in range(many))[1]
+    assert buckets.upsert(spark, path, batch(spark, new)) <= 2
+    assert rows(buckets.read(spark, path)) == want | {5: (last, "rule", "rules"), 6: ("six", "case", "cases")}
