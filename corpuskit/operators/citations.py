@@ -21,6 +21,9 @@ RULE_ROUTE = ("规则", "允许", "可不可以", "能不能", "audit", "policy"
 CASE_ROUTE = ("案例", "经验", "类似", "case", "reference")
 # -----------------------------------------------------------------------------
 
+# Lines of a text that is put together from rows.
+LINES = 1_000
+
 RESULT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "url", "source_domain", "snippet")]
     + [T.StructField("score", T.DoubleType())]
@@ -190,27 +193,34 @@ def citation_page_items(citations: DataFrame, pages: DataFrame, limit: int = 5)
     )
 
 
-def _joined(order: str, line: Column, separator: str) -> Column:
-    """Lines of a (small) group in order, as one text."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    return F.array_join(F.transform(lines, lambda s: s.line), separator)
+def _joined(rows: DataFrame, key: str, order: str, line: Column, separator: str, out: str, lines: int) -> DataFrame:
+    """The first lines of each key in order, as one text; equal places are ordered by the line.
+
+    Spark keeps each task's own first lines of a key before rows are shuffled (for up to 1,000 lines), so a key with a
+    third of all rows needs memory for its lines, not for its rows.
+    """
+    place = Window.partitionBy(key).orderBy(order, "_line")
+    first = rows.select(key, order, line.alias("_line")).withColumn("_n", F.row_number().over(place))
+    listed = F.array_sort(F.collect_list(F.struct("_n", "_line")))
+    text = F.array_join(F.transform(listed, lambda s: s["_line"]), separator)
+    return first.filter(F.col("_n") <= lines).groupBy(key).agg(text.alias(out))
 
 
-def assemble_context(refs: DataFrame, key: str = "query_id", order: str = "rank") -> DataFrame:
-    """Numbered document snippets per query (refs are a top-k, so a group is small)."""
+def assemble_context(refs: DataFrame, key: str = "query_id", order: str = "rank", lines: int = LINES) -> DataFrame:
+    """Numbered document snippets per query, the first ``lines`` of them."""
     head = F.concat(F.lit("[Snippet "), F.col(order).cast("string"), F.lit("] Document "))
     line = F.concat(head, F.col("document_id").cast("string"), F.lit(" - "), "title", F.lit("\n"), "snippet")
-    return refs.groupBy(key).agg(_joined(order, line, "\n\n").alias("context"))
+    return _joined(refs, key, order, line, "\n\n", "context", lines)
 
 
-def local_context(refs: DataFrame, key: str = "query_id", order: str = "rank") -> DataFrame:
-    """Numbered local documents for the synthesis prompt."""
+def local_context(refs: DataFrame, key: str = "query_id", order: str = "rank", lines: int = LINES) -> DataFrame:
+    """Numbered local documents for the synthesis prompt, the first ``lines`` of them."""
     line = F.concat(F.lit("[文档"), F.col(order).cast("string"), F.lit("] "), "title", F.lit("\n"), "snippet")
-    return refs.groupBy(key).agg(_joined(order, line, "\n\n").alias("local_context"))
+    return _joined(refs, key, order, line, "\n\n", "local_context", lines)
 
 
-def build_synthesis_prompt(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Question, numbered results and optional local context, per run.
+def build_synthesis_prompt(queries: DataFrame, items: DataFrame, lines: int = LINES) -> DataFrame:
+    """Question, the first ``lines`` numbered results and optional local context, per run.
 
     ``queries``: run_id, query, local_context (null = none); ``items``: run_id, item, title, url, text.
     """
@@ -227,7 +237,7 @@ def build_synthesis_prompt(queries: DataFrame, items: DataFrame) -> DataFrame:
         cut,
         F.lit("\n"),
     )
-    listed = items.groupBy("run_id").agg(_joined("item", block, "\n").alias("listed"))
+    listed = _joined(items, "run_id", "item", block, "\n", "listed", lines)
     local = F.when(
         F.coalesce("local_context", F.lit("")) != "",
         F.concat(
@@ -248,8 +258,8 @@ def build_synthesis_prompt(queries: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def synthesis_markdown(turns: DataFrame, citations: DataFrame) -> DataFrame:
-    """The saved form of a web answer (question, answer, sources), its md5 and storage key."""
+def synthesis_markdown(turns: DataFrame, citations: DataFrame, lines: int = LINES) -> DataFrame:
+    """The saved form of a web answer (question, answer, the first ``lines`` sources), its md5 and storage key."""
     name = _or("title", "url", F.concat(F.lit("来源"), F.col("rank").cast("string")))
     short = F.substring(F.regexp_replace(X.strip(_text("snippet")), "\n", " "), 1, 400)
     line = F.concat(
@@ -261,7 +271,7 @@ def synthesis_markdown(turns: DataFrame, citations: DataFrame) -> DataFrame:
         _text("url"),
         F.when(short != "", F.concat(F.lit("\n    "), short)).otherwise(F.lit("")),
     )
-    sources = citations.groupBy("run_id").agg(_joined("rank", line, "\n").alias("sources"))
+    sources = _joined(citations, "run_id", "rank", line, "\n", "sources", lines)
     content = F.concat(
         F.lit("# "), "query", F.lit("\n\n"), X.strip(F.col("answer")), F.lit("\n\n## 引用来源\n"), "sources"
     )

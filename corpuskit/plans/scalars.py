@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuskit import runtime
 from corpuskit.functions import json_columns as J
 from corpuskit.functions import text as X
 from corpuskit.functions import urls as U
 from corpuskit.functions import vectors as V
 from corpuskit.operators import network as N
+from corpuskit.operators import patterns
 from corpuskit.operators import retrieval as R
 from corpuskit.plans import model as M
 from corpuskit.plans.registry import query
@@ -312,6 +314,38 @@ def filter_safe_text(spark, sf):
     return M.table(spark, sf, "documents").filter(safe).select("doc_id")
 
 
+# words of the conversations as a list of patterns
+WORDS_SQL = """words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS pattern FROM conversations)"""
+
+
+def _words(spark, sf):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{8,})"))
+    return M.table(spark, sf, "conversations").select(F.explode(words).alias("pattern"))
+
+
+@query(
+    "find_patterns",
+    f"""WITH {WORDS_SQL} SELECT doc_id, count(*) AS n_patterns, min(pattern) AS first_pattern
+        FROM documents JOIN words ON contains(lower(text), pattern) GROUP BY 1""",
+)
+def find_patterns(spark, sf):
+    runtime.ship_package(spark)
+    docs = M.table(spark, sf, "documents")
+    hits = patterns.find_patterns(docs, "doc_id", F.lower("text"), _words(spark, sf))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_patterns"), F.min("pattern").alias("first_pattern"))
+
+
+@query(
+    "without_patterns",
+    f"""WITH {WORDS_SQL} SELECT doc_id, length(text) AS n_chars FROM documents
+        WHERE doc_id NOT IN (SELECT doc_id FROM documents JOIN words ON contains(lower(text), pattern))""",
+)
+def without_patterns(spark, sf):
+    runtime.ship_package(spark)
+    left = patterns.without_patterns(M.table(spark, sf, "documents"), F.lower("text"), _words(spark, sf))
+    return left.select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
 # robots files of the pages' hosts: one per host, from the first path segment of its smallest URL
 ROBOTS_SQL = """
   hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
