@@ -156,7 +156,7 @@ def upsert_chunks(spark, sf):
 def upsert_buckets(spark, sf):
     out = scratch(spark, "buckets")
     buckets.write(stored_chunks(spark, sf), out, 16)
-    buckets.upsert(spark, out, incoming_chunks(spark, sf))
+    buckets.upsert(spark, out, incoming_chunks(spark, sf), per_round=4)
     return buckets.read(spark, out).select("chunk_id", "content", "doc_type", "collection")
 
 

@@ -16,6 +16,8 @@ from corpuskit.operators.retrieval import collection_of
 
 # Choose so many that a bucket holds some 100 MB: it is written by one task. Only bucket numbers come to the driver.
 BUCKETS = 256
+# Buckets that a change rewrites in one round; a round's shuffle files are deleted before the next, the new rows read again.
+PER_ROUND = 64
 # Rows of one id that an upsert takes to its bucket uncombined.
 REPEATS = 1_000
 
@@ -33,7 +35,7 @@ def write(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     runtime.delete_folder(spark, f"{path}-change")
     placed = chunks.withColumns({"of": F.lit(buckets), "bucket": bucket_of(F.col("chunk_id"), buckets)})
     # a bucket is one task's work, so it is one file
-    _store(placed.repartition("of", "bucket"), path, "static")
+    _store(placed.repartition("of", "bucket"), path, "overwrite")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +44,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("of", "bucket")
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> int:
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, per_round: int = PER_ROUND) -> int:
     """Replace or add chunks by id, and return the number of buckets rewritten.
 
     ``incoming`` has a ``batch`` column; of rows with the same id the highest batch counts, then the largest other columns
@@ -60,17 +62,17 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> int:
     row = F.struct(*[(F.col(f.name) if f.name in routed.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in own])
     id_type = stored.schema["chunk_id"].dataType
     rows = routed.select(F.col("chunk_id").cast(id_type).alias("chunk_id"), "batch", row.alias("r"))
-    return _change(spark, path, rows.filter("chunk_id IS NOT NULL"))
+    return _change(spark, path, rows.filter("chunk_id IS NOT NULL"), per_round)
 
 
-def delete(spark: SparkSession, path: str, ids: DataFrame) -> int:
+def delete(spark: SparkSession, path: str, ids: DataFrame, per_round: int = PER_ROUND) -> int:
     """Remove chunks by id, and return the number of buckets rewritten. Ids that are not stored change no bucket."""
     _apply(spark, path)
     stored = spark.read.parquet(path)
     wanted = ids.select(F.col("chunk_id").cast(stored.schema["chunk_id"].dataType).alias("chunk_id")).distinct()
     nothing = F.lit(None).cast(_row(stored).schema["r"].dataType)
     gone = stored.select("chunk_id").join(wanted, "chunk_id", "left_semi")
-    return _change(spark, path, gone.select("chunk_id", F.lit(0).alias("batch"), nothing.alias("r")))
+    return _change(spark, path, gone.select("chunk_id", F.lit(0).alias("batch"), nothing.alias("r")), per_round)
 
 
 def _row(stored: DataFrame) -> DataFrame:
@@ -82,11 +84,11 @@ def _own(stored: DataFrame) -> list[str]:
     return [c for c in stored.columns if c not in ("chunk_id", "of", "bucket")]
 
 
-def _change(spark: SparkSession, path: str, new: DataFrame, repeats: int = REPEATS) -> int:
+def _change(spark: SparkSession, path: str, new: DataFrame, per_round: int) -> int:
     """Write the touched buckets aside with the new rows (chunk_id, batch, r), then apply them.
 
     A row whose ``r`` is null removes its id. Stored and new rows meet in one shuffle by bucket, where a new row beats the
-    stored one; ids with more than ``repeats`` new rows are combined before. The ids are read twice.
+    stored one; ids with more than REPEATS new rows are combined before. New rows are read once for the numbers and once per round.
     """
     number = _buckets(spark, path)
     new = new.withColumn("bucket", bucket_of(F.col("chunk_id"), number))
@@ -94,18 +96,20 @@ def _change(spark: SparkSession, path: str, new: DataFrame, repeats: int = REPEA
     touched = runtime.materialize(ids.groupBy("bucket").agg(F.max("count").alias("most")))
     found = touched.collect()  # at most the number of buckets
     if found:
-        if max(r.most for r in found) > repeats:
+        if max(r.most for r in found) > REPEATS:
             new = new.groupBy("bucket", "chunk_id").agg(F.max(F.struct("batch", "r")).alias("m"))
             new = new.select("bucket", "chunk_id", "m.batch", "m.r")
         stored = spark.read.parquet(path)
-        kept = _row(stored.filter(F.col("bucket").isin([r.bucket for r in found])))
-        kept = kept.withColumn("batch", F.lit(None).cast(new.schema["batch"].dataType))
         # null (stored) is smaller than true (new)
-        both = kept.withColumn("new", F.lit(None).cast("boolean")).unionByName(new.withColumn("new", F.lit(True)))
-        last = both.repartition("bucket").groupBy("bucket", "chunk_id").agg(F.max(F.struct("new", "batch", "r")).alias("m"))
+        kept = _row(stored).withColumns({"batch": F.lit(None).cast(new.schema["batch"].dataType), "new": F.lit(None).cast("boolean")})
+        both = kept.unionByName(new.withColumn("new", F.lit(True)))
         own = [F.col(f"m.r.`{c}`") for c in _own(stored)]
-        rows = last.filter("m.r IS NOT NULL").select("chunk_id", *own, F.lit(number).alias("of"), "bucket")
-        _store(rows.select(stored.columns), f"{path}-change/rows", "static")
+        numbers = sorted(r.bucket for r in found)
+        for k in range(0, len(numbers), per_round):
+            part = both.filter(F.col("bucket").isin(numbers[k : k + per_round])).repartition("bucket")
+            last = part.groupBy("bucket", "chunk_id").agg(F.max(F.struct("new", "batch", "r")).alias("m"))
+            rows = last.filter("m.r IS NOT NULL").select("chunk_id", *own, F.lit(number).alias("of"), "bucket")
+            _store(rows.select(stored.columns), f"{path}-change/rows", "append" if k else "overwrite")
         touched.select("bucket").coalesce(1).write.mode("overwrite").parquet(f"{path}-change/touched")
         _apply(spark, path)
     return len(found)
@@ -134,4 +138,4 @@ def _buckets(spark: SparkSession, path: str) -> int:
 
 def _store(placed: DataFrame, path: str, mode: str) -> None:
     with runtime.shuffles_deleted(placed.sparkSession):
-        placed.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("of", "bucket").parquet(path)
+        placed.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("of", "bucket").parquet(path)

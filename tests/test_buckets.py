@@ -53,7 +53,7 @@ def test_random_changes_against_a_dict(spark, store):
     for n in range(3):
         new = [(rng.randint(0, 2100), f"r{n} {k}", rng.choice(["rule", "note", None]), rng.randint(0, 3)) for k in range(60)]
         new += [new[0]] * 3 + [(None, "no id", "rule", 1)]
-        buckets.upsert(spark, path, batch(spark, new))
+        buckets.upsert(spark, path, batch(spark, new), per_round=[64, 25, 40][n])
         best = {}
         for i, text, kind, b in new:
             place = (b, text, kind is not None, kind or "")
