@@ -93,6 +93,12 @@ def block_keys(fingerprints: DataFrame, simhash: str = "fp") -> DataFrame:
     return masked.select("fp", "at", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """Join of exploded rows. Spark's estimate of their size leaves the explode out, so that it would broadcast the keys of
+    all fingerprints through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on)
+
+
 def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: int = HOT_KEY) -> DataFrame:
     """Pairs of different fingerprints within Hamming distance 3: (a, b, distance) with a < b.
 
@@ -108,7 +114,7 @@ def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: in
     on = ["at", "key"]
     if hot.isEmpty():
         left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-        found = left.join(right, on).filter(is_near).filter(_is_first_equal(masks, a, b, F.col("at"))).select("a", "b")
+        found = _shuffled(left, right, on).filter(is_near).filter(_is_first_equal(masks, a, b, F.col("at"))).select("a", "b")
     else:
         # Pairs of which both sides are under some shared hot key come from the flipped bits; every
         # other pair shares no hot key.
@@ -117,7 +123,7 @@ def simhash_pairs(fingerprints: DataFrame, simhash: str = "simhash", hot_key: in
         cold = cold.withColumn("h", F.coalesce("h", F.lit(False)))
         left = cold.withColumnsRenamed({"fp": "a", "h": "a_hot"})
         right = cold.withColumnsRenamed({"fp": "b", "h": "b_hot"})
-        near = left.join(right, on).filter(is_near & ~(F.col("a_hot") & F.col("b_hot")))
+        near = _shuffled(left, right, on).filter(is_near & ~(F.col("a_hot") & F.col("b_hot")))
         near = near.filter(_is_first_equal(masks, a, b, F.col("at"))).select("a", "b")
         found = near.unionByName(_pairs_by_flips(hot_fps))
     return found.select("a", "b", hamming(a, b).alias("distance"))
@@ -139,7 +145,7 @@ def _pairs_by_flips(fps: DataFrame) -> DataFrame:
     two = fps.select(F.col("fp").alias("b"), F.explode(F.expr(_TWO_FLIPS)).alias("m"))
     one = one.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("value"))
     two = two.select("b", F.col("b").bitwiseXOR(F.col("m")).alias("value"))
-    return one.join(two, "value").filter("a < b").select("a", "b").distinct()
+    return _shuffled(one, two, "value").filter("a < b").select("a", "b").distinct()
 
 
 def greedy_dropped(edges: DataFrame) -> DataFrame:
@@ -170,7 +176,7 @@ def dedup_simhash_greedy(df: DataFrame, row_id: str, order: list[str], simhash:
     first_a = firsts.select(F.col("fp").alias("a"), F.col("place").alias("pa"))
     first_b = firsts.select(F.col("fp").alias("b"), F.col("place").alias("pb"))
     a_first = F.col("pa") < F.col("pb")
-    edges = pairs.join(first_a, "a").join(first_b, "b").select(
+    edges = pairs.join(first_a.hint("merge"), "a").join(first_b.hint("merge"), "b").select(
         F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("src"),
         F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("dst"),
     )

@@ -148,6 +148,13 @@ def test_simhash_against_brute_force(spark, hot_key):
     assert {values[r.id] for r in kept.collect()} == set(_greedy(values))
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """Their estimated size is that of the fingerprints, a fraction of what they hold."""
+    df = spark.createDataFrame([(i, 1 << i) for i in range(40)], "id long, simhash long")
+    for found in (dedup.simhash_pairs(df), dedup._pairs_by_flips(runtime.materialize(df.select(F.col("simhash").alias("fp"))))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_is_not_transitive(spark):
     a, b, c = 0, 0b111, 0b111111
     df = spark.createDataFrame([(1, a), (2, b), (3, c)], "id long, simhash long")
