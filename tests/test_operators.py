@@ -166,6 +166,13 @@ def test_rows_without_key_are_kept(spark):
     assert rows(dedup.dedup_exact(df, "id", ["id"]), "id") == [(1,), (4,)]
 
 
+def test_export_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(i % 2, "t", f"body {i}", str(i)) for i in range(40)], "user_id long, title string, content string, file_id string")
+    sinks.export_markdown(df.coalesce(1), str(tmp_path / "out"))
+    written = [p.name[:10] for p in (tmp_path / "out").rglob("part-*.txt")]
+    assert len(written) == 40 and len(set(written)) > 4
+
+
 # --- references, conversations, network ---
 
 
