@@ -3,25 +3,35 @@
 Rows of a token are kept in blocks, rows with many tokens first, and a block knows the most tokens of its rows. A search
 first scores the rows of each query's rarest tokens, which gives a score that k rows reach. Any other row that reaches it
 shares that many tokens, so it has one of the query's rarest T - score + 1 tokens, or holds the whole phrase and with it
-every token inside the phrase. Only those postings are read, and only blocks whose bound reaches the score. Queries with
-fewer than k such rows go on to words that contain a token, found through the grams of the vocabulary.
+every token inside the phrase. Only those postings are read, and only blocks whose bound reaches the score. The rows
+that share most of these tokens are scored next, which raises the score that is left to be reached. Queries with fewer
+than k such rows go on to words that contain a token, found through the grams of the vocabulary.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from corpuskit import runtime
 from corpuskit.functions import text as X
 from corpuskit.operators import retrieval as R
-from corpuskit.operators.topk import _recency
+from corpuskit.operators.topk import _recency, _steps, _tokens
 
 # Postings of a block, and postings that the first reading of a query aims at.
 BLOCK, FIRST_ROWS = 128, 200
+# Postings that a task packs, or merges for one token, at once, and rows of an Arrow batch that it gives.
+BUNDLE, PACKS_AT_ONCE = 1_500_000, 10_000
 _EDGE = rf"^[a-z0-9_{X.CJK}]+|[a-z0-9_{X.CJK}]+$"
 
 
@@ -30,26 +40,151 @@ def build(rows: DataFrame, path: str, row_id: str = "chunk_id", scope: str = "us
 
     rows: the rows by scope. postings: scope, token, blocks of row ids with the most tokens that a row of the block has.
     tokens: scope, token, number of rows. grams: 2- and 3-grams of the distinct tokens. Rows without scope are stored and
-    never found. A token of a third of all rows is numbered by ranges and stored in many blocks.
+    never found. Tasks send the rows of a token packed, and packs are dealt by ranges: a token of a third of all rows
+    comes as few rows and may be merged, and numbered, in several parts.
     """
     kept = rows.withColumns({"_scope": F.col(scope), "_id": F.col(row_id), "_newest": _recency(rows, newest)})
     kept.repartitionByRange("_scope", "_id").sortWithinPartitions("_scope", "_id").write.mode("overwrite").parquet(f"{path}/rows")
     stored = rows.sparkSession.read.parquet(f"{path}/rows")
-    tokens = X.tokenize(F.coalesce("search_text", F.lit("")))
-    listed = runtime.spread(stored).select("_scope", "_id", tokens.alias("t")).filter("_scope IS NOT NULL")
-    single = listed.select("_scope", "_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    single = runtime.materialize(single)
-    placed = runtime.ranked(single, ["_scope", "token"], [F.desc("n"), F.asc("_id")], "_r")
-    blocks = placed.groupBy("_scope", "token", F.floor((F.col("_r") - 1) / BLOCK).alias("block")).agg(
-        F.max("n").alias("most"), F.collect_list("_id").alias("ids")
-    )
-    ordered = blocks.repartitionByRange("token", "_scope", "block").sortWithinPartitions("token", "_scope", "block")
-    ordered.write.mode("overwrite").parquet(f"{path}/postings")
-    single.groupBy("_scope", "token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/tokens")
-    known = single.select("token").distinct()
+    text = F.lower(F.coalesce("search_text", F.lit(""))).alias("_text")
+    texts = runtime.spread(stored).filter("_scope IS NOT NULL AND _id IS NOT NULL").select("_scope", "_id", text)
+    packs = runtime.materialize(_packed(texts))
+    by = ["token", "_scope", "most"]
+    ordered = packs.repartitionByRange(*by).sortWithinPartitions(*by)
+    _merged(ordered).write.mode("overwrite").parquet(f"{path}/postings")
+    counted = packs.groupBy("_scope", "token").agg(F.sum("df").alias("df"))
+    counted.write.mode("overwrite").parquet(f"{path}/tokens")
+    known = rows.sparkSession.read.parquet(f"{path}/tokens").select("token").distinct()
     known.select(F.explode(F.array_distinct(_grams(F.col("token")))).alias("gram"), "token").write.mode("overwrite").parquet(f"{path}/grams")
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """_scope, token, most (tokens of a row, negative: the most first), df, n and ids of rows (_scope, _id, lower-case _text)."""
+    kinds = {f.name: f.dataType for f in texts.schema}
+    schema = T.StructType(
+        [
+            T.StructField("_scope", kinds["_scope"]),
+            T.StructField("token", T.StringType()),
+            T.StructField("most", T.IntegerType()),
+            T.StructField("df", T.LongType()),
+            T.StructField("n", T.ArrayType(T.IntegerType())),
+            T.StructField("ids", T.ArrayType(kinds["_id"])),
+        ]
+    )
+    fields = to_arrow_schema(schema)
+
+    def bundle(keys: list[pa.Table], codes: list[np.ndarray], sizes: list[int], tokens: dict) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(keys).combine_chunks()
+        scopes = table.column("_scope").combine_chunks().dictionary_encode()
+        size = np.array(sizes, np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        of_row = scopes.indices.to_numpy().astype(np.int64) * max(1, len(tokens))
+        key = of_row[row] + np.concatenate(codes)
+        order = np.lexsort((-size[row], key))
+        row, key = row[order], key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(first, len(key))
+        words = pa.array(list(tokens), pa.string())
+        at, code = np.divmod(key[first], max(1, len(tokens)))
+        columns = [
+            scopes.dictionary.take(pa.array(at)),
+            words.take(pa.array(code)),
+            pa.array((-size[row[first]]).astype(np.int32)),
+            pa.array(np.diff(ends)),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(size[row].astype(np.int32))),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.column("_id").combine_chunks().take(pa.array(row))),
+        ]
+        yield from pa.table(columns, fields.names).cast(fields).to_batches(max_chunksize=PACKS_AT_ONCE)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: defaultdict[str, int] = defaultdict()
+        tokens.default_factory = tokens.__len__
+        keys, codes, sizes, waiting = [], [], [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for start, length in _steps(table, BUNDLE):
+                part = table.slice(start, length)
+                keys.append(part.select(["_scope", "_id"]))
+                for text in part.column("_text").to_pylist():
+                    own = _tokens(text)
+                    codes.append(np.fromiter(map(tokens.__getitem__, own), np.int64, len(own)))
+                    sizes.append(len(own))
+                    waiting += len(own)
+                if waiting >= BUNDLE:
+                    yield from bundle(keys, codes, sizes, tokens)
+                    tokens.clear()
+                    keys, codes, sizes, waiting = [], [], [], 0
+        if keys:
+            yield from bundle(keys, codes, sizes, tokens)
+
+    return texts.mapInArrow(pack, schema)
+
+
+def _merged(packs: DataFrame) -> DataFrame:
+    """Blocks of the packs of each token, which follow each other: _scope, token, block, most, ids."""
+    kinds = {f.name: f.dataType for f in packs.schema}
+    schema = T.StructType(
+        [
+            T.StructField("_scope", kinds["_scope"]),
+            T.StructField("token", T.StringType()),
+            T.StructField("block", T.LongType()),
+            T.StructField("most", T.IntegerType()),
+            T.StructField("ids", kinds["ids"]),
+        ]
+    )
+    fields, size = to_arrow_schema(schema), BLOCK
+
+    def changes(table: pa.Table) -> np.ndarray:
+        """Places where another token begins, the first row included."""
+        differs = np.zeros(max(table.num_rows - 1, 0), bool)
+        for c in ("token", "_scope"):
+            column = table.column(c).combine_chunks()
+            differs |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.r_[True, differs])
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.zeros(table.num_rows, np.int64)
+        group[changes(table)[1:]] = 1
+        group = np.cumsum(group)
+        owner = np.repeat(np.arange(table.num_rows), table.column("df").to_numpy())
+        n = table.column("n").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((-n, group[owner]))
+        n, owner = n[order], owner[order]
+        own = group[owner]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+        first = np.flatnonzero(rank % size == 0)
+        ids = table.column("ids").combine_chunks().flatten().take(pa.array(order))
+        columns = [
+            table.column("_scope").take(pa.array(owner[first])),
+            table.column("token").take(pa.array(owner[first])),
+            pa.array(rank[first] // size),
+            pa.array(n[first]),
+            pa.ListArray.from_arrays(pa.array(np.append(first, len(own)).astype(np.int32)), ids),
+        ]
+        yield from pa.table(columns, fields.names).cast(fields).to_batches(max_chunksize=PACKS_AT_ONCE)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if waiting is not None:
+                table = pa.concat_tables([waiting, table])
+            # the last token may go on in the next batch; one with very many rows is cut here
+            last = int(changes(table)[-1])
+            if not last and pc.sum(table.column("df")).as_py() >= BUNDLE:
+                last = table.num_rows
+            if last:
+                yield from blocks(table.slice(0, last))
+            waiting = table.slice(last) if last < table.num_rows else None
+        if waiting is not None:
+            yield from blocks(waiting)
+
+    return packs.mapInArrow(merge, schema)
+
+
 def _grams(token: Column) -> Column:
     """All 2- and 3-grams."""
     none = F.array().cast("array<string>")
@@ -62,7 +197,7 @@ def keyword_topk(queries: DataFrame, path: str, k: int = 5, scope: str = "user_i
     rows = R._with_hit_columns(spark.read.parquet(f"{path}/rows"))
     scored = keyword_scores(queries, path, k, scope)
     order = Window.partitionBy("query_id").orderBy(F.desc("kw"), F.desc("_newest"), F.asc("_id"))
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = runtime.materialize(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
     found = top.join(rows.drop("_newest"), ["_scope", "_id"]).select("query_id", "rank", *R.HIT, F.col("kw").alias("score"))
     unlisted = _asked(queries, scope).filter(~F.exists("tokens", _long))
     scanned = R.keyword_topk(unlisted.select("query_id", F.col("_scope").alias(scope), "query_text"), rows, k, scope)
@@ -113,9 +248,12 @@ def keyword_scores(queries: DataFrame, path: str, k: int = 5, scope: str = "user
         return met.filter(F.least("total", "most") + 3 >= F.col("least")).select("query_id", "_scope", "total", "least", "token", "key", F.explode("ids").alias("_id"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.select("query_id", "_scope", "_id").join(rows.select("_scope", "_id", "_newest", "search_text"), ["_scope", "_id"])
-        met = met.join(asked.select("query_id", "query_text"), "query_id")
-        kw = X.keyword_score(F.col("query_text"), F.coalesce("search_text", F.lit("")))
+        # stored first: few pairs then travel to the texts, and a text is cut into tokens once for all of its queries
+        of_row = runtime.materialize(pairs.groupBy("_scope", "_id").agg(F.collect_list("query_id").alias("of")))
+        met = of_row.join(rows.select("_scope", "_id", "_newest", F.coalesce("search_text", F.lit("")).alias("text")), ["_scope", "_id"])
+        met = met.withColumn("t_tokens", X.tokenize(F.col("text"))).withColumn("query_id", F.explode("of")).drop("of")
+        met = met.join(asked.select("query_id", "query_text", F.col("tokens").alias("q_tokens")), "query_id")
+        kw = X.keyword_score(F.col("query_text"), F.col("text"), F.col("q_tokens"), F.col("t_tokens"))
         return runtime.materialize(met.select("query_id", "_scope", "_id", "_newest", kw.alias("kw")))
 
     # rows of the rarest tokens: as many tokens as k rows need, and further short lists; of long lists the first blocks
@@ -123,10 +261,14 @@ def keyword_scores(queries: DataFrame, path: str, k: int = 5, scope: str = "user
     first = listed.filter(few & (F.col("df") > 0)).withColumn("least", F.lit(0.0))
     seeds = scored(read(first, -(-max(k, FIRST_ROWS) // BLOCK)).select("query_id", "_scope", "_id").distinct())
     kth = Window.partitionBy("query_id").orderBy(F.desc("kw"))
-    reached = seeds.withColumn("_r", F.row_number().over(kth)).filter(F.col("_r") == k).select("query_id", F.col("kw").alias("least"))
+
+    def reached(known: DataFrame) -> DataFrame:
+        """The score that k of the known rows reach."""
+        placed = known.withColumn("_r", F.row_number().over(kth))
+        return placed.filter(F.col("_r") == k).select("query_id", F.col("kw").alias("least"))
 
     # whatever else can reach the score of the k-th of them
-    goal = listed.join(reached, "query_id", "left").fillna(0.0, ["least"])
+    goal = listed.join(reached(seeds), "query_id", "left").fillna(0.0, ["least"])
     # a row without the phrase lacks at most T - least tokens
     needed = F.when(F.col("least") >= 1, F.col("total") - F.ceil("least") + 1).otherwise(F.col("total"))
     goal = runtime.materialize(goal.withColumn("needed", F.greatest(needed, F.lit(0))))
@@ -135,7 +277,14 @@ def keyword_scores(queries: DataFrame, path: str, k: int = 5, scope: str = "user
     unread = goal.groupBy("query_id").agg(F.count_if((F.col("place") > F.col("needed")) & ~F.col("key")).alias("unread"))
     held = met.groupBy("query_id", "_scope", "_id", "least").agg(F.count("*").alias("c"), F.max("key").alias("phrase")).join(unread, "query_id")
     bound = F.col("c") + F.col("unread") + F.when(F.col("phrase"), 3).otherwise(0)
-    can = held.filter(bound >= F.col("least")).select("query_id", "_scope", "_id")
+    held = runtime.materialize(held.withColumn("bound", bound).filter("bound >= least"))
+    # those that share most of the tokens read so far raise the score that the others must be able to reach
+    most = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("_id"))
+    near = held.withColumn("_r", F.row_number().over(most)).filter(F.col("_r") <= max(k, FIRST_ROWS))
+    near = scored(near.select("query_id", "_scope", "_id").join(seeds, ["query_id", "_scope", "_id"], "left_anti"))
+    seeds = runtime.materialize(seeds.union(near))
+    raised = held.drop("least").join(reached(seeds), "query_id", "left").fillna(0.0, ["least"])
+    can = raised.filter("bound >= least").select("query_id", "_scope", "_id")
     # a phrase without such a token lies in a word that contains its longest token
     edge = parts.groupBy("query_id", "_scope", "total").agg(F.max("inner").alias("any"), F.max_by("token", F.length("token")).alias("t")).filter("NOT any")
     inside = read(_containing(spark, path, edge.filter(F.length("t") > 1)).withColumn("least", F.lit(0.0))).select("query_id", "_scope", "_id")
@@ -154,4 +303,6 @@ def _containing(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """query_id, _scope, T, token, key: the known tokens that contain ``t``, through its first gram."""
     grams = spark.read.parquet(f"{path}/grams").withColumnRenamed("token", "_word")
     met = wanted.withColumn("gram", F.substring("t", 1, 3)).join(grams, "gram").filter(F.contains("_word", "t"))
-    return met.select("query_id", "_scope", "total", F.col("_word").alias("token"), F.lit(False).alias("key")).distinct()
+    met = met.select("query_id", "_scope", "total", F.col("_word").alias("token"), F.lit(False).alias("key"))
+    # stored: few tokens then travel to the postings
+    return runtime.materialize(met.distinct())

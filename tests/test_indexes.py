@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskit.operators import postings as N
+from corpuskit.operators import topk
 from corpuskit.operators import retrieval as R
 from corpuskit.operators import vector_index as I
 
@@ -147,3 +148,41 @@ def test_postings_of_nothing(spark, tmp_path):
     N.build(texts(spark).limit(0), path)
     asked = spark.createDataFrame([(1, 1, "alpha beta")], "query_id long, user_id long, query_text string")
     assert N.keyword_topk(asked, path).count() == 0
+
+
+@pytest.mark.parametrize("bundle", [50, 1_500_000])
+def test_postings_travel_packed_and_keep_every_row(spark, tmp_path, monkeypatch, bundle):
+    """Whatever fits in a bundle, a token's blocks hold each of its rows once, and a pack holds many of them."""
+    monkeypatch.setattr(N, "BUNDLE", bundle)
+    rows, path = texts(spark), str(tmp_path / "postings")
+    lower = rows.selectExpr("user_id AS _scope", "chunk_id AS _id", "lower(coalesce(search_text, '')) AS _text").filter("_scope IS NOT NULL")
+    packs = N._packed(lower.coalesce(1)).collect()
+    want = {}
+    for r in lower.collect():
+        for token in topk._tokens(r["_text"]):
+            want.setdefault((r["_scope"], token), []).append(r["_id"])
+    assert (len(packs) == len(want)) == (bundle > 50)
+    N.build(rows, path)
+    got, tokens = {}, spark.read.parquet(f"{path}/tokens").collect()
+    for r in spark.read.parquet(f"{path}/postings").collect():
+        assert len(r["ids"]) <= N.BLOCK
+        got.setdefault((r["_scope"], r["token"]), []).extend(r["ids"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {(r["_scope"], r["token"]): r["df"] for r in tokens} == {k: len(v) for k, v in want.items()}
+
+
+def test_few_rows_are_scored_beside_the_best(spark, tmp_path, monkeypatch):
+    """Rows that share many tokens raise the score to reach, so rows that share few are not scored."""
+    monkeypatch.setattr(N, "FIRST_ROWS", 5)
+    rng = np.random.default_rng(8)
+    words = [f"c{j}" for j in range(20)]
+    rows = [(i, 1, i, " ".join(rng.choice(words, 6, replace=False)) + " rare" * (i % 40 == 0)) for i in range(1000)]
+    rows += [(1000 + i, 1, i, " ".join(words[:19])) for i in range(10)]
+    df = spark.createDataFrame(rows, "chunk_id long, user_id long, newest long, content string")
+    df = df.selectExpr("*", "newest AS created_at", "chunk_id AS document_id", "'d' AS document_title", "'c' AS chunk_title", "content AS search_text")
+    path = str(tmp_path / "postings")
+    N.build(df, path)
+    asked = spark.createDataFrame([(1, 1, " ".join(reversed([*words, "rare"])))], "query_id long, user_id long, query_text string")
+    assert N.keyword_scores(asked, path, 3).count() < 100
+    key = lambda found: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in found.collect())
+    assert key(N.keyword_topk(asked, path, 3)) == key(R.keyword_topk(asked, df, 3))
