@@ -164,13 +164,15 @@ def jaccard_components(
     pairs = pairs.union(_with_centre(members)).filter("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = steps.write(_possible(pairs, info, percent))
-    links = steps.write(_verify(tested, docs, words, percent, steps))
+    steps.drop(met)
+    links = _verify(tested, docs, words, percent, steps)
     found = steps.write(common.components(links, steps))
 
     # stored before the anti-join, which would otherwise be done for every lane that a pair has in common
-    more = steps.write(_across(members, found, info, percent))
-    more = steps.write(more.join(tested, ["a", "b"], "left_anti"))
-    new = steps.write(_verify(more, docs, words, percent, steps))
+    met = steps.write(_across(members, found, info, percent))
+    more = steps.write(met.join(tested, ["a", "b"], "left_anti"))
+    steps.drop(met)
+    new = _verify(more, docs, words, percent, steps)
     if not new.isEmpty():
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = steps.write(common.components(stars.union(new), steps))
@@ -365,10 +367,9 @@ def _close(x: bytes, y: bytes, most: int) -> bool:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, steps: common.Steps) -> DataFrame:
-    """The pairs whose sets link, by their shingles."""
-    wanted = steps.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    if wanted.count() <= SHIPPED_IDS:  # the texts stay where they are
-        wanted = F.broadcast(wanted)
+    """The pairs whose sets link, by their shingles, stored; the shingles are deleted before the next step."""
+    ids = steps.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= SHIPPED_IDS else ids  # the texts stay where they are
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,7 +391,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int, steps:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    links = steps.write(pairs.join(right, "b").join(left, "a").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long"))
+    steps.drop(stored)
+    steps.drop(ids)
+    return links
 
 
 def _across(members: DataFrame, found: DataFrame, info: DataFrame, percent: int) -> DataFrame:

@@ -127,6 +127,30 @@ def test_jaccard_components(documents, small, monkeypatch):
     assert got == want
 
 
+def test_shingles_and_lanes_are_deleted_when_they_have_been_used(documents, monkeypatch):
+    """What later steps do not read does not lie beside their shuffles."""
+    kept = {}
+    write, drop = common.Steps.write, common.Steps.drop
+
+    def written(self, df):
+        back = write(self, df)
+        kept[self.paths[id(back)]] = back.columns
+        return back
+
+    def dropped(self, df):
+        del kept[self.paths[id(df)]]
+        drop(self, df)
+
+    monkeypatch.setattr(common.Steps, "write", written)
+    monkeypatch.setattr(common.Steps, "drop", dropped)
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(10)]
+    rows = [(i, base[i % 10] + f" own{i} {i}") for i in range(60)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(rows)).collect()}
+    assert got == {i: i % 10 for i in range(60)}
+    assert kept and not [c for c in kept.values() if c == ["doc_id", "members"] or "kind" in c]
+
+
 def test_lanes_never_miss():
     """Whatever differs within the bound, two sets publish a common lane."""
     rng = np.random.default_rng(3)
