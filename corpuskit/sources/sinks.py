@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +22,8 @@ from corpuskit.operators.retrieval import collection_of
 
 # Tasks per core of an export of one file per row.
 FILE_TASKS = 4
+# Bytes of files that a task reads at once.
+READ_BYTES = 4 << 20
 BLOCKING_STATUSES = ("queued", "claimed", "completed")
 
 
@@ -130,17 +141,119 @@ def markdown_files(df: DataFrame) -> DataFrame:
     )
 
 
+# Folder of a missing value, and the characters that Spark escapes in names of folders.
+_MISSING = b"__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(rb"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def _folder(column: str) -> Column:
+    """Bytes of a column's value in the name of its folder; nothing is a missing value."""
+    text = F.nullif(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(text, F.lit(_MISSING.decode())).cast("binary").alias(f"_{column}")
+
+
 def export_markdown(df: DataFrame, out: str) -> DataFrame:
     """Write every row as its own Markdown folder ``out/user_id=.../file_name=.../`` and return the list.
 
     A folder per row suits exports of up to some 10^5 files; for more, write ``markdown_files`` as a table.
-    The cost is that of the files, not of their bytes: every core writes its share, however few partitions the rows have,
-    and tasks move their own files into place instead of the driver moving all of them one by one.
+    The cost is that of the files, not of their bytes: every core writes its share, however few partitions the rows have.
+    In a folder of the operating system tasks write the files themselves (Spark's writer starts a process or two per file
+    there to set its mode); a file appears by a rename, under a name that a repeated task gives again. In any other store
+    Spark's writer is used, and tasks move their own files into place instead of the driver moving all of them one by one.
     """
-    files = markdown_files(df)
+    spark, files = df.sparkSession, markdown_files(df)
+    tasks = FILE_TASKS * spark.sparkContext.defaultParallelism
+    root = runtime.local_folder(spark, out)
+    if root is not None:
+        rows = files.select(_folder("user_id"), _folder("file_name"), F.col("body").cast("binary").alias("value"))
+        _write_files(rows.repartition(tasks, "_user_id", "_file_name").sortWithinPartitions("_user_id", "_file_name", "value"), out, root)
+        return files.select("user_id", "file_name")
     by_file = files.select("user_id", "file_name", F.col("body").alias("value"))
-    tasks = FILE_TASKS * df.sparkSession.sparkContext.defaultParallelism
     writer = by_file.repartition(tasks, "user_id", "file_name").write.mode("overwrite")
     writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.partitionBy("user_id", "file_name").text(out)
     return files.select("user_id", "file_name")
+
+
+def _write_files(rows: DataFrame, out: str, root: str) -> None:
+    """The files of ``rows`` (_user_id, _file_name, value), of which those of a file follow each other, as Spark's text writer names them."""
+    spark, run, top = rows.sparkSession, uuid.uuid4().hex.encode(), os.fsencode(root)
+    runtime.ship_package(spark)
+    runtime.delete_folder(spark, out)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in ("_user_id", "_file_name", "value")])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = b"part-%05d-%s-c000.txt" % (task.partitionId(), run)
+        made, n = set(), 0
+        for (user, file), own in groupby(lines(batches), key=lambda line: line[:2]):
+            user, file = [_ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], part) for part in (user, file)]
+            above = os.path.join(top, b"user_id=" + user)
+            folder = os.path.join(above, b"file_name=" + file)
+            if user not in made:
+                os.makedirs(above, exist_ok=True)
+                made.add(user)
+            try:
+                os.mkdir(folder)
+            except FileExistsError:  # a repeated task
+                pass
+            part = os.path.join(folder, b".%s.%d" % (name, task.taskAttemptId()))
+            with open(part, "wb") as to:
+                for *_, value in own:
+                    to.write(value + b"\n")
+            os.replace(part, os.path.join(folder, name))
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    runtime.create_file(spark, f"{out}/_SUCCESS")
+
+
+def read_markdown(spark: SparkSession, out: str) -> DataFrame:
+    """user_id, file_name (both as texts), value: every file below ``out``, read whole.
+
+    In a folder of the operating system the tasks list and read what the users' folders hold, a large one in shares;
+    a task per few files, as Spark's reader plans them, takes longer than the files.
+    """
+    root = runtime.local_folder(spark, out)
+    if root is None:
+        found = spark.read.text(out, wholetext=True)
+        return found.select(F.col("user_id").cast("string"), F.col("file_name").cast("string"), "value")
+    runtime.ship_package(spark)
+    tasks, top = FILE_TASKS * spark.sparkContext.defaultParallelism, os.fsencode(root)
+    users = [e.name for e in os.scandir(top) if e.name.startswith(b"user_id=")]
+    shares = max(1, -(-tasks // max(1, len(users))))
+    work = spark.createDataFrame([(u, i) for u in users for i in range(shares)], "user binary, share int")
+
+    def plain(name: bytes) -> bytes | None:
+        value = name.partition(b"=")[2]
+        return None if value == _MISSING else re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), value)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes | None, bytes | None, bytes]]:
+        for batch in batches:
+            for user, share in zip(*[batch.column(c).to_pylist() for c in ("user", "share")]):
+                for folder in os.scandir(os.path.join(top, user)):
+                    if not folder.name.startswith(b"file_name=") or zlib.crc32(folder.name) % shares != share:
+                        continue
+                    for file in os.scandir(folder.path):
+                        if not file.name.startswith((b".", b"_")):
+                            with open(file.path, "rb") as of:
+                                yield plain(user), plain(folder.name), of.read()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in found(batches):
+            rows.append(row)
+            size += len(row[2]) + 100
+            if size >= READ_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names)
+
+    names = ["user_id", "file_name", "value"]
+    files = work.repartition(max(1, min(tasks, len(users) * shares))).mapInArrow(read, ", ".join(f"{n} binary" for n in names))
+    return files.select(*[F.col(n).cast("string") for n in names])
