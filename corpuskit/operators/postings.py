@@ -32,30 +32,57 @@ from corpuskit.operators.topk import _recency, _steps, _tokens
 BLOCK, FIRST_ROWS = 128, 200
 # Postings that a task packs, or merges for one token, at once, and rows of an Arrow batch that it gives.
 BUNDLE, PACKS_AT_ONCE = 1_500_000, 10_000
+# Most rounds in which packs become blocks, stored rows of a round, and rows that are wanted from the stored ones and are still sent to every task.
+ROUNDS, ROUND_ROWS, SENT_ROWS = 8, 50_000, 200_000
 _EDGE = rf"^[a-z0-9_{X.CJK}]+|[a-z0-9_{X.CJK}]+$"
 
 
 def build(rows: DataFrame, path: str, row_id: str = "chunk_id", scope: str = "user_id", newest: str = "created_at") -> None:
-    """Store ``rows`` (search_text and what a hit shows) with their postings below ``path``.
+    """Store ``rows`` (search_text and what a hit shows, no other column) with their postings below ``path``.
 
     rows: the rows by scope. postings: scope, token, blocks of row ids with the most tokens that a row of the block has.
     tokens: scope, token, number of rows. grams: 2- and 3-grams of the distinct tokens. Rows without scope are stored and
     never found. Tasks send the rows of a token packed, and packs are dealt by ranges: a token of a third of all rows
     comes as few rows and may be merged, and numbered, in several parts.
+    Packs become blocks in up to ROUNDS rounds of tokens; shuffles and packs are deleted as soon as they are used.
     """
+    spark = rows.sparkSession
+    # a hit shows the first characters of the content; all of it stands in search_text
+    shown = [c for c in R.HIT if c not in ("snippet", row_id)]
     kept = rows.withColumns({"_scope": F.col(scope), "_id": F.col(row_id), "_newest": _recency(rows, newest)})
-    kept.repartitionByRange("_scope", "_id").sortWithinPartitions("_scope", "_id").write.mode("overwrite").parquet(f"{path}/rows")
-    stored = rows.sparkSession.read.parquet(f"{path}/rows")
-    text = F.lower(F.coalesce("search_text", F.lit(""))).alias("_text")
-    texts = runtime.spread(stored).filter("_scope IS NOT NULL AND _id IS NOT NULL").select("_scope", "_id", text)
-    packs = runtime.materialize(_packed(texts))
-    by = ["token", "_scope", "most"]
-    ordered = packs.repartitionByRange(*by).sortWithinPartitions(*by)
-    _merged(ordered).write.mode("overwrite").parquet(f"{path}/postings")
-    counted = packs.groupBy("_scope", "token").agg(F.sum("df").alias("df"))
-    counted.write.mode("overwrite").parquet(f"{path}/tokens")
-    known = rows.sparkSession.read.parquet(f"{path}/tokens").select("token").distinct()
-    known.select(F.explode(F.array_distinct(_grams(F.col("token")))).alias("gram"), "token").write.mode("overwrite").parquet(f"{path}/grams")
+    kept = R._with_hit_columns(kept).withColumn("content", F.col("snippet"))
+    kept = kept.select("_scope", "_id", "_newest", *dict.fromkeys([row_id, scope, newest, *shown]), "content", "search_text")
+    with runtime.shuffles_deleted(spark):
+        ordered = kept.repartitionByRange("_scope", "_id").sortWithinPartitions("_scope", "_id")
+        _written(ordered, f"{path}/rows")
+        stored = spark.read.parquet(f"{path}/rows")
+        text = F.lower(F.coalesce("search_text", F.lit(""))).alias("_text")
+        texts = runtime.spread(stored).filter("_scope IS NOT NULL AND _id IS NOT NULL").select("_scope", "_id", text)
+        rounds = max(1, min(ROUNDS, stored.count() // ROUND_ROWS))
+        # a round's packs are deleted before those of the next are shuffled
+        packs = _packed(texts).withColumn("_round", F.pmod(F.xxhash64("token"), F.lit(rounds)).cast("int"))
+        packs.write.mode("overwrite").option("compression", "zstd").partitionBy("_round").parquet(f"{path}/packs")
+        schema = packs.drop("_round").schema
+        for i in range(rounds):
+            at = f"{path}/packs/_round={i}"
+            mode = "append" if i else "overwrite"
+            packs = spark.read.schema(schema).parquet(at) if runtime.folder_names(spark, at) else spark.createDataFrame([], schema)
+            by = ["token", "_scope", "most"]
+            _written(_merged(packs.repartitionByRange(*by).sortWithinPartitions(*by)), f"{path}/postings", mode)
+            _written(packs.groupBy("_scope", "token").agg(F.sum("df").alias("df")), f"{path}/tokens", mode)
+            runtime.delete_folder(spark, at)
+        runtime.delete_folder(spark, f"{path}/packs")
+        known = spark.read.parquet(f"{path}/tokens").select("token").distinct()
+        _written(known.select(F.explode(F.array_distinct(_grams(F.col("token")))).alias("gram"), "token"), f"{path}/grams")
+
+
+def _written(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).option("compression", "zstd").parquet(path)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, sent to every task if it is short, so that stored rows are not shuffled for it."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -195,10 +222,11 @@ def keyword_topk(queries: DataFrame, path: str, k: int = 5, scope: str = "user_i
     """The rows of ``retrieval.keyword_topk`` over the stored rows: query_id, rank, hit columns, score."""
     spark = queries.sparkSession
     rows = R._with_hit_columns(spark.read.parquet(f"{path}/rows"))
-    scored = keyword_scores(queries, path, k, scope)
     order = Window.partitionBy("query_id").orderBy(F.desc("kw"), F.desc("_newest"), F.asc("_id"))
-    top = runtime.materialize(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
-    found = top.join(rows.drop("_newest"), ["_scope", "_id"]).select("query_id", "rank", *R.HIT, F.col("kw").alias("score"))
+    with runtime.shuffles_deleted(spark):
+        scored = keyword_scores(queries, path, k, scope)
+        top = runtime.materialize(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    found = rows.drop("_newest").join(_few(top), ["_scope", "_id"]).select("query_id", "rank", *R.HIT, F.col("kw").alias("score"))
     unlisted = _asked(queries, scope).filter(~F.exists("tokens", _long))
     scanned = R.keyword_topk(unlisted.select("query_id", F.col("_scope").alias(scope), "query_text"), rows, k, scope)
     return found.unionByName(scanned.select(*found.columns))
@@ -250,7 +278,7 @@ def keyword_scores(queries: DataFrame, path: str, k: int = 5, scope: str = "user
     def scored(pairs: DataFrame) -> DataFrame:
         # stored first: few pairs then travel to the texts, and a text is cut into tokens once for all of its queries
         of_row = runtime.materialize(pairs.groupBy("_scope", "_id").agg(F.collect_list("query_id").alias("of")))
-        met = of_row.join(rows.select("_scope", "_id", "_newest", F.coalesce("search_text", F.lit("")).alias("text")), ["_scope", "_id"])
+        met = rows.select("_scope", "_id", "_newest", F.coalesce("search_text", F.lit("")).alias("text")).join(_few(of_row), ["_scope", "_id"])
         met = met.withColumn("t_tokens", X.tokenize(F.col("text"))).withColumn("query_id", F.explode("of")).drop("of")
         met = met.join(asked.select("query_id", "query_text", F.col("tokens").alias("q_tokens")), "query_id")
         kw = X.keyword_score(F.col("query_text"), F.col("text"), F.col("q_tokens"), F.col("t_tokens"))

@@ -201,7 +201,25 @@ def test_cells_do_not_travel_and_blocks_are_few(spark, vectors, tmp_path, monkey
     model = I.load_model(spark, path)
     rng = np.random.default_rng(2)
     cells, codes = rng.integers(-1, len(model.centres), 50), rng.integers(0, model.codebooks.shape[1], (50, len(model.codebooks)))
+    cells[:5] = I.NOWHERE
     told = model.decoded(cells, codes)
-    assert not told[cells == I.NOWHERE].any() and (cells == I.NOWHERE).any()
+    assert not told[cells == I.NOWHERE].any()
     one = [c + np.concatenate([model.codebooks[j][x] for j, x in enumerate(own)]) for c, own in zip(model.centres[cells], codes)]
     assert np.allclose(told[cells != I.NOWHERE], np.array(one)[cells != I.NOWHERE])
+
+
+def test_the_index_holds_what_hits_show(spark, tmp_path, monkeypatch):
+    """Neither other columns, nor whole contents beside the texts, nor packs stay; shuffles of the build are deleted."""
+    monkeypatch.setattr(N, "SENT_ROWS", 3)
+    monkeypatch.setattr(N, "ROUND_ROWS", 300)
+    rows, path = texts(spark).withColumn("summary", F.lit("s" * 300)).withColumn("content", F.repeat("content", 9)), str(tmp_path / "postings")
+    cleaned = []
+    deleted = N.runtime.shuffles_deleted
+    monkeypatch.setattr(N.runtime, "shuffles_deleted", lambda spark: cleaned.append(1) or deleted(spark))
+    N.build(rows, path)
+    assert {p.name for p in (tmp_path / "postings").iterdir()} == {"rows", "postings", "tokens", "grams"} and cleaned
+    stored = spark.read.parquet(f"{path}/rows")
+    assert "summary" not in stored.columns and stored.agg(F.max(F.length("content"))).first()[0] <= 160
+    asked = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(ASKED)], "query_id long, user_id long, query_text string")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score, r.snippet) for r in df.collect())
+    assert key(N.keyword_topk(asked, path, 4)) == key(R.keyword_topk(asked, rows, 4))
